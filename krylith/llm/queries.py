@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from krylith.llm import language_id
+from krylith.llm.near_duplicates import near_duplicates
 from krylith.llm.quality_rules import quality_rules
 from krylith.llm.token_counts import token_counts
 
@@ -21,6 +22,10 @@ def fold(modulus: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus, F.lit(0))
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     found = language_id.predict(docs, language_id.fit(docs, fold(5) != 0))
@@ -36,7 +41,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_language_id, op4_quality_rules, op5_token_counts)}
+    return {f.__name__: f for f in (op2_near_duplicates, op3_language_id, op4_quality_rules, op5_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
