@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from krylith.llm import language_id
 from krylith.llm.near_duplicates import near_duplicates
 from krylith.llm.quality_rules import quality_rules
+from krylith.llm.substring_dedup import substring_dedup
 from krylith.llm.token_counts import token_counts
 
 
@@ -40,8 +41,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), "word_bpe_49k.json", 2048)
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_near_duplicates, op3_language_id, op4_quality_rules, op5_token_counts)}
+    return {f.__name__: f for f in (op2_near_duplicates, op3_language_id, op4_quality_rules, op5_token_counts, op9_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

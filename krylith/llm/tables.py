@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -41,3 +42,8 @@ class Scratch:
             if path := getattr(frame, "scratch_path", None):
                 where = jvm.org.apache.hadoop.fs.Path(path)
                 where.getFileSystem(conf).delete(where, True)
+
+    def release(self) -> None:
+        """Lets Spark's cleaner remove shuffle files whose frames are gone."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
