@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from krylith.llm import language_id
+from krylith.llm.decontaminate import decontaminate
+from krylith.llm.mixing import mix
 from krylith.llm.near_duplicates import near_duplicates
 from krylith.llm.quality_rules import quality_rules
 from krylith.llm.substring_dedup import substring_dedup
@@ -23,6 +25,10 @@ def fold(modulus: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus, F.lit(0))
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
@@ -45,8 +51,20 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(documents(spark, sf_dir))
 
 
+def with_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs and their sampling weight: 2 if labelled good, 0.5 if labelled bad, else 1."""
+    marks = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    weight = F.when(F.col("quality") == 1, 2.0).when(F.col("quality") == 0, 0.5).otherwise(1.0)
+    return docs.join(marks, "doc_id", "left").withColumn("quality_weight", weight)
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_quality(documents(spark, sf_dir).select("doc_id", "source", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return mix(docs, F.col("quality_weight")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_near_duplicates, op3_language_id, op4_quality_rules, op5_token_counts, op9_substring_dedup)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_near_duplicates, op3_language_id, op4_quality_rules, op5_token_counts, op9_substring_dedup, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
