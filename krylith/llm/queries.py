@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from krylith.llm import language_id, quality_classifier
+from krylith.llm import attention_lm, language_id, quality_classifier
 from krylith.llm.decontaminate import decontaminate
 from krylith.llm.mixing import mix
 from krylith.llm.near_duplicates import near_duplicates
@@ -47,6 +47,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), "word_bpe_49k.json", 2048)
 
 
+def op6_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = attention_lm.score(documents(spark, sf_dir), fold(7) != 2)
+    return found.select("doc_id", (fold(7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     network = quality_classifier.fit(docs, labels, fold(4) != 2)
@@ -70,7 +75,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_near_duplicates, op3_language_id, op4_quality_rules, op5_token_counts, op7_quality_classifier, op9_substring_dedup, op10_mixing)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_near_duplicates, op3_language_id, op4_quality_rules, op5_token_counts, op6_attention_lm, op7_quality_classifier, op9_substring_dedup, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
