@@ -8,10 +8,12 @@ stops as soon as each slot has a value: no later rank can be less.
 
 Texts with equal shingle sets are one class, found by a 128-bit sum of their shingles, and go on as
 one representative. Representatives that agree in a band share a bucket. In a bucket one pivot is
-compared with all others on full sets; members that end in one component need no more. What is
-left compares further pivots, four times as many in each round, only across components, until no
-bucket holds two. So a group of copies costs a comparison for each member, while no pair of
-different components of a bucket stays uncompared.
+compared with all others on full sets; members that end in one component need no more. For what
+is left, the shingles that no other open member has are counted: they bound every similarity of
+their text, so members that can reach no other, and pairs that can't reach the limit, go without a
+comparison. The rest compares further pivots, four times as many in each round, only across
+components and in the first bucket that both share, until no bucket holds two. So a group of copies costs a comparison for each member,
+while no pair of different components of a bucket that could be a link stays uncompared.
 """
 
 from __future__ import annotations
@@ -134,6 +136,20 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, least: int, of: int
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
 
 
+def shared_sizes(texts: DataFrame, width: int) -> DataFrame:
+    """doc_id and the number of its shingles that another of these texts has too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in W.slices(batch.column(1)):
+                keys, ptr = shingles(rows, width)
+                ids = batch.column(0)[rows.at : rows.at + rows.n].take(pa.array(np.repeat(np.arange(rows.n), np.diff(ptr))))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(keys.view(np.int64))], ["doc_id", "key"])
+
+    each = texts.select("doc_id", "text").mapInArrow(run, "doc_id long, key long").groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
+    return each.where("n = 1").groupBy("doc_id").agg(F.count("*").alias("alone"))
+
+
 def near_duplicates(docs: DataFrame, least: int = 85, of: int = 100, width: int = 5, count: int = BANDS, rows_in_band: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
@@ -154,23 +170,27 @@ def near_duplicates(docs: DataFrame, least: int = 85, of: int = 100, width: int
     sizes = classes.select("rep", "n")
 
     fits = F.least("n", "pivot_n") * of >= F.greatest("n", "pivot_n") * least
+    most = F.least("m", "pivot_m")
+    reach = most * of >= (F.col("n") + F.col("pivot_n") - most) * least
     first = members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b"), "n").distinct()
     first = first.join(sizes.toDF("a", "pivot_n"), "a").where(fits).select("a", "b")
     tried = scratch.save(first)
     links = scratch.save(verified(tried, texts, width, least, of).toDF("u", "v"))
     open_ = members.where("rep <> pivot").select("bucket", "rep", "n")  # the pivot has met all others
-    pivots, labels, spent = 4, components(links, scratch), None
+    pivots, labels = 4, components(links, scratch)
     while True:
         named = open_.join(labels.toDF("rep", "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
         mixed = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
         left = scratch.save(named.join(mixed, "bucket"))
-        scratch.drop(spent)
         if left.isEmpty():
             break
+        alone = shared_sizes(texts.join(left.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), width)
+        left = left.join(alone.withColumnRenamed("doc_id", "rep"), "rep", "left").withColumn("m", F.col("n") - F.coalesce("alone", F.lit(0)))
+        left = left.where(F.col("m") * of >= F.col("n") * least).drop("alone").join(classes.select("rep", "bands"), "rep")
         turn = F.row_number().over(Window.partitionBy("bucket").orderBy(F.xxhash64("rep"), "rep"))
         ranked = scratch.save(left.withColumn("turn", turn))
-        chosen = ranked.where(F.col("turn") <= pivots).select("bucket", F.col("rep").alias("pivot"), F.col("n").alias("pivot_n"), F.col("label").alias("pivot_label"), F.col("turn").alias("pivot_turn"))
-        met = ranked.join(chosen, "bucket").where((F.col("label") != F.col("pivot_label")) & (F.col("turn") > F.col("pivot_turn")) & fits)
+        chosen = ranked.where(F.col("turn") <= pivots).select("bucket", F.col("rep").alias("pivot"), F.col("n").alias("pivot_n"), F.col("m").alias("pivot_m"), F.col("label").alias("pivot_label"), F.col("turn").alias("pivot_turn"), F.col("bands").alias("pivot_bands"))
+        met = ranked.join(chosen, "bucket").where((F.col("label") != F.col("pivot_label")) & (F.col("turn") > F.col("pivot_turn")) & fits & reach & (F.array_min(F.array_intersect("bands", "pivot_bands")) == F.col("bucket")))
         met = met.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
         new = scratch.save(met)
         found = scratch.save(verified(new, texts, width, least, of).toDF("u", "v"))
@@ -178,7 +198,7 @@ def near_duplicates(docs: DataFrame, least: int = 85, of: int = 100, width: int
         if not found.isEmpty():
             labels = components(labels.toDF("u", "v").unionByName(found), scratch)
         open_ = ranked.where(F.col("turn") > pivots).select("bucket", "rep", "n")
-        spent, pivots = left, pivots * 4
+        pivots *= 4
     known = classes.join(labels.toDF("rep", "label"), "rep", "left").select("fp1", "fp2", "n", F.coalesce("label", "rep").alias("label"))
     named = sketched.select("doc_id", "n", "fp1", "fp2").join(known, ["fp1", "fp2", "n"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id"))
