@@ -9,7 +9,7 @@ bucket, then over buckets, and only inside a bucket over documents, so no task s
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from krylith.llm.tables import Scratch
@@ -32,18 +32,19 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], total_share: float, mo
     return listed.select("source", "source_size", F.least("cap", F.coalesce(reached * F.col("weight"), F.col("cap"))).alias("target"))
 
 
-def mix(docs: DataFrame, quality: Column | None = None, weights: tuple[float, ...] = (5, 2, 1), total_share: float = 1.5, most: float = 2.0, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[float, ...] = (5, 2, 1), total_share: float = 1.5, most: float = 2.0, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per input row: doc_id, source, size, source_size, target, epochs, taken.
 
-    quality: a positive weight of each document (default 1); null, zero and negative weights count
-    as 1. Null texts have size 0. A document is taken `epochs` times, and once more if the middle of
+    quality: id and weight of documents, one row for an id; documents without a positive weight have 1. Null texts have size 0. A document is taken `epochs` times, and once more if the middle of
     its place in the prefix sums lies in the rest of the target. Equal keys go by id, then size;
     repeated rows are documents of their own. Keys depend on seed and id alone, so reruns agree.
     """
     scratch = Scratch(docs.sparkSession)
-    weight = F.lit(1.0) if quality is None else F.coalesce(F.when(quality > 0, quality.cast("double")), F.lit(1.0))
     unit = (F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 52)) + F.lit(0.5)) / float(1 << 52)
-    sized = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), (-F.log(unit) / weight).alias("key"))
+    sized = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), (-F.log(unit)).alias("key"))
+    if quality is not None:
+        marks = quality.toDF("doc_id", "quality_weight").where("doc_id is not null and quality_weight > 0")
+        sized = sized.join(marks, "doc_id", "left").withColumn("key", F.col("key") / F.coalesce("quality_weight", F.lit(1.0))).drop("quality_weight")
     sized = scratch.save(sized.withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * BUCKETS).cast("int")))
     aimed = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, total_share, most)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.greatest("source_size", F.lit(1)))).otherwise(F.lit(0)).cast("long")

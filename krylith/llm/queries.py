@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from krylith.llm import attention_lm, language_id, quality_classifier
 from krylith.llm.decontaminate import decontaminate
+from krylith.llm.html_text import extract_text
 from krylith.llm.mixing import mix
 from krylith.llm.near_duplicates import near_duplicates
 from krylith.llm.quality_rules import quality_rules
@@ -58,24 +59,27 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(docs, network, 0.7).select("doc_id", (fold(4) == 2).alias("held_out"), "score", "predicted")
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(documents(spark, sf_dir))
 
 
-def with_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs and their sampling weight: 2 if labelled good, 0.5 if labelled bad, else 1."""
+def quality_weights(labels: DataFrame) -> DataFrame:
+    """Sampling weights of labelled documents: 2 if good, 0.5 if bad."""
     marks = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    weight = F.when(F.col("quality") == 1, 2.0).when(F.col("quality") == 0, 0.5).otherwise(1.0)
-    return docs.join(marks, "doc_id", "left").withColumn("quality_weight", weight)
+    return marks.select("doc_id", F.when(F.col("quality") == 1, 2.0).when(F.col("quality") == 0, 0.5).alias("weight"))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = with_quality(documents(spark, sf_dir).select("doc_id", "source", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return mix(docs, F.col("quality_weight")).select("doc_id", "size", "source_size", "target", "taken")
+    weights = quality_weights(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return mix(documents(spark, sf_dir), weights).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_near_duplicates, op3_language_id, op4_quality_rules, op5_token_counts, op6_attention_lm, op7_quality_classifier, op9_substring_dedup, op10_mixing)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_near_duplicates, op3_language_id, op4_quality_rules, op5_token_counts, op6_attention_lm, op7_quality_classifier, op8_html_text, op9_substring_dedup, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
