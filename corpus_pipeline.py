@@ -1,7 +1,74 @@
-"""A training corpus from raw documents: the stages, each of one operator, and their run."""
+"""A training corpus from raw documents: the stages, each of one operator, and their run.
+
+Each stage works on all documents that its predecessor kept. Rows with a null doc_id can't be
+addressed by a decision; every stage but the last keeps them as they are.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from krylith.llm.decontaminate import decontaminate
+from krylith.llm.mixing import mix
+from krylith.llm.near_duplicates import near_duplicates
+from krylith.llm.quality_rules import quality_rules
+from krylith.llm.queries import quality_weights
+from krylith.llm.substring_dedup import substring_dedup
+from krylith.llm.tables import Scratch
+
+#: Four stages have no SQL form; tests compare them with brute force.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose id is not among ids, with the columns they have."""
+    return docs.join(ids.select(F.col("doc_id").alias("_gone")).distinct(), F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return without(docs, quality_rules(docs).where("not kept"))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near-duplicates."""
+    return without(docs, near_duplicates(docs).where("not kept"))
+
+
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without their repeated windows; those that lose all their words go."""
+    cut = substring_dedup(docs, with_text=True).where("n_removed > 0").select(F.col("doc_id").alias("_id"), "kept_text").dropDuplicates(["_id"])
+    joined = docs.join(cut, F.col("doc_id") == F.col("_id"), "left").where("kept_text is null or kept_text <> ''")
+    text = F.coalesce("kept_text", "text")
+    size = F.when(F.col("kept_text").isNotNull(), F.length("kept_text")).otherwise(F.col("n_chars"))
+    return joined.withColumns({"text": text, "n_chars": size.cast("long")}).select(*docs.columns)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no benchmark item contaminates."""
+    return without(docs, decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source, size, source_size, target, epochs and taken of the documents in the mix."""
+    weights = quality_weights(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return mix(docs, weights).where("taken > 0")
+
+
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("substring_dedup", substring_stage),
+    ("decontamination", decontamination_stage),
+    ("mixing", mixing_stage),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents, each written and read again for the next."""
+    scratch = Scratch(spark)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = scratch.save(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
