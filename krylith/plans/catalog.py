@@ -1,11 +1,145 @@
-"""The registered queries of the linear-algebra engine and the SQL each is compared with."""
+"""The registered queries of the linear-algebra engine and the SQL each is compared with.
+
+Sources: W[part, supplier] = sum of lineitem quantities, x and y vectors over parts, z over
+suppliers, and stencils on grids. Floating sums are rounded so that their order has no influence.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from krylith.operators import matrix as M
+from krylith.operators import vector as B
+from krylith.plans import solvers
+from krylith.plans.runtime import operator
+from krylith.sources.generators import laplace
+
+WSQL = "SELECT l_partkey AS i, l_suppkey AS j, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2"
+XSQL = "SELECT p_partkey AS i, CAST(p_retailprice AS DOUBLE) AS v FROM part"
+YSQL = "SELECT p_partkey AS i, CAST(p_size AS DOUBLE) AS v FROM part"
+ZSQL = "SELECT s_suppkey AS i, CAST(s_acctbal AS DOUBLE) AS v FROM supplier"
+WITH = f"WITH w AS ({WSQL}), x AS ({XSQL}), y AS ({YSQL}), z AS ({ZSQL}), g AS (SELECT a.i AS i, b.i AS j, CASE WHEN a.i = b.i THEN 4.0 ELSE -1.0 END AS v FROM (SELECT unnest(range(100)) AS i) a, (SELECT unnest(range(100)) AS i) b WHERE abs(a.i // 10 - b.i // 10) + abs(a.i % 10 - b.i % 10) <= 1) "
+GRID = 10
+
+
+def w(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/lineitem.parquet").groupBy(F.col("l_partkey").alias("i"), F.col("l_suppkey").alias("j")).agg(F.sum("l_quantity").alias("v"))
+
+
+def column(table: str, key: str, value: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, d: spark.read.parquet(f"{d}/{table}.parquet").select(F.col(key).alias("i"), F.col(value).cast("double").alias("v"))
+
+
+x, y, z = column("part", "p_partkey", "p_retailprice"), column("part", "p_partkey", "p_size"), column("supplier", "s_suppkey", "s_acctbal")
+
+
+def g(spark: SparkSession, d: str) -> DataFrame:
+    return laplace(spark, GRID, GRID)
+
+
+def rounded(frame: DataFrame, digits: int = 4) -> DataFrame:
+    return frame.withColumns({c: F.round(c, digits) + F.lit(0.0) for c, kind in frame.dtypes if kind == "double"})
+
+
+#: name: (query, the select over the WITH tables)
+TABLE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
+    "vec_axpy": (lambda s, d: B.axpy(2.0, x(s, d), y(s, d)), "SELECT i, 2 * x.v + y.v AS v FROM x JOIN y USING (i)"),
+    "vec_xpay": (lambda s, d: B.xpay(x(s, d), 3.0, y(s, d)), "SELECT i, x.v + 3 * y.v AS v FROM x JOIN y USING (i)"),
+    "vec_axpyz": (lambda s, d: B.axpy(-0.5, x(s, d), y(s, d)), "SELECT i, -0.5 * x.v + y.v AS v FROM x JOIN y USING (i)"),
+    "vec_scale": (lambda s, d: B.scale(1.5, x(s, d)), "SELECT i, 1.5 * v AS v FROM x"),
+    "vec_pmul": (lambda s, d: B.pmul(x(s, d), y(s, d)), "SELECT i, x.v * y.v AS v FROM x JOIN y USING (i)"),
+    "vec_pdiv": (lambda s, d: B.pdiv(x(s, d), y(s, d)), "SELECT i, x.v / nullif(y.v, 0) AS v FROM x JOIN y USING (i)"),
+    "vec_set_all": (lambda s, d: B.set_all(7.0, x(s, d)), "SELECT i, 7.0::DOUBLE AS v FROM x"),
+    "vec_abs": (lambda s, d: B.absolute(z(s, d)), "SELECT i, abs(v) AS v FROM z"),
+    "vec_reciprocal": (lambda s, d: B.reciprocal(y(s, d)), "SELECT i, 1 / nullif(v, 0) AS v FROM y"),
+    "vec_shift": (lambda s, d: B.shift(10.0, x(s, d)), "SELECT i, v - 10 AS v FROM x"),
+    "vec_dot": (lambda s, d: B.dot(x(s, d), y(s, d)), "SELECT sum(x.v * y.v) AS value FROM x JOIN y USING (i)"),
+    "vec_nrm1": (lambda s, d: B.nrm1(z(s, d)), "SELECT sum(abs(v)) AS value FROM z"),
+    "vec_nrm2": (lambda s, d: B.nrm2(z(s, d)), "SELECT sqrt(sum(v * v)) AS value FROM z"),
+    "vec_nrmi": (lambda s, d: B.nrmi(z(s, d)), "SELECT max(abs(v)) AS value FROM z"),
+    "vec_sum": (lambda s, d: B.total(z(s, d)), "SELECT sum(v) AS value FROM z"),
+    "vec_set_values_ins": (lambda s, d: B.set_values(x(s, d), updates(s, d), False), "SELECT x.i, coalesce(u.v, x.v) AS v FROM x LEFT JOIN (SELECT l_partkey AS i, arg_max(l_quantity, (l_orderkey * 10 + l_linenumber) * 1000 + l_quantity) AS v FROM lineitem GROUP BY 1) u USING (i)"),
+    "vec_set_values_add": (lambda s, d: B.set_values(x(s, d), updates(s, d), True), "SELECT x.i, x.v + coalesce(u.v, 0) AS v FROM x LEFT JOIN (SELECT l_partkey AS i, sum(l_quantity) AS v FROM lineitem GROUP BY 1) u USING (i)"),
+    "mat_set_value_add": (lambda s, d: M.assemble(entries(s, d)), "SELECT i, j, v FROM w"),
+    "mat_set_value_ins": (lambda s, d: M.assemble(entries(s, d), False), "SELECT l_partkey AS i, l_suppkey AS j, arg_max(l_quantity, (l_orderkey * 10 + l_linenumber) * 1000 + l_quantity) AS v FROM lineitem GROUP BY 1, 2"),
+    "psd_set_value": (lambda s, d: M.set_existing(g(s, d), g(s, d).where("i = j").select(F.col("i").alias("seq"), "i", (F.col("j") * F.lit(1)).alias("j"), F.lit(9.0).alias("v"))), "SELECT i, j, CASE WHEN i = j THEN 9.0 ELSE v END::DOUBLE AS v FROM g"),
+    "matvec": (lambda s, d: M.matvec(w(s, d), z(s, d)), "SELECT w.i, sum(w.v * z.v) AS v FROM w JOIN z ON w.j = z.i GROUP BY 1"),
+    "matvech": (lambda s, d: M.matvech(w(s, d), x(s, d)), "SELECT w.j AS i, sum(w.v * x.v) AS v FROM w JOIN x ON w.i = x.i GROUP BY 1"),
+    "mat_axpy": (lambda s, d: M.axpy(2.0, g(s, d), M.transpose(g(s, d))), "SELECT i, j, 3.0 * v AS v FROM g"),
+    "mat_xpay": (lambda s, d: M.xpay(g(s, d), 4.0, g(s, d)), "SELECT i, j, 5.0 * v AS v FROM g"),
+    "mat_transpose": (lambda s, d: M.transpose(w(s, d)), "SELECT j AS i, i AS j, v FROM w"),
+    "mat_normf": (lambda s, d: M.normf(w(s, d)), "SELECT sqrt(sum(v * v)) AS value FROM w"),
+    "mat_diag": (lambda s, d: M.diagonal(w(s, d)), "SELECT i, v FROM w WHERE i = j"),
+    "mat_shift": (lambda s, d: M.shift_diagonal(g(s, d), 0.5), "SELECT i, j, CASE WHEN i = j THEN v - 0.5 ELSE v END::DOUBLE AS v FROM g"),
+    "mat_shift_matrix": (lambda s, d: M.shift_matrix(g(s, d), g(s, d), 0.25), "SELECT i, j, 0.75 * v AS v FROM g"),
+    "mat_scale_jacobi": (lambda s, d: M.scale(g(s, d)), "SELECT i, j, v / 4 AS v FROM g"),
+    "mat_scale_symm": (lambda s, d: M.scale(g(s, d), True), "SELECT i, j, v / 4 AS v FROM g"),
+    "mat_split_l": (lambda s, d: M.split(w(s, d), "l"), "SELECT i, j, v FROM w WHERE i > j"),
+    "mat_split_d": (lambda s, d: M.split(w(s, d), "d"), "SELECT i, j, v FROM w WHERE i = j"),
+    "mat_split_u": (lambda s, d: M.split(w(s, d), "u"), "SELECT i, j, v FROM w WHERE i < j"),
+    "mat_merge": (lambda s, d: M.merge(*(M.split(w(s, d), p) for p in "ldu")), "SELECT i, j, v FROM w"),
+    "gram": (lambda s, d: M.matmat(M.transpose(w(s, d)), w(s, d)), "SELECT a.j AS i, b.j AS j, sum(a.v * b.v) AS v FROM w a JOIN w b USING (i) GROUP BY 1, 2"),
+    "to_coo": (g, "SELECT i, j, v FROM g"),
+    "to_csr": (lambda s, d: M.to_csr(g(s, d)), "SELECT row_number() OVER (ORDER BY i, j) - 1 AS pos, i, j, v FROM g"),
+    "to_csc": (lambda s, d: M.to_csc(g(s, d)), "SELECT row_number() OVER (ORDER BY j, i) - 1 AS pos, i, j, v FROM g"),
+    "to_msr": (lambda s, d: M.to_msr(g(s, d)), "SELECT CASE WHEN i = j THEN 0 ELSE 1 END AS part, i, j, v FROM g"),
+    "to_dia": (lambda s, d: M.to_dia(g(s, d)), "SELECT j - i AS \"offset\", i, v FROM g"),
+    "to_ell": (lambda s, d: M.to_ell(w(s, d)), "SELECT i, row_number() OVER (PARTITION BY i ORDER BY j) - 1 AS slot, j, v FROM w"),
+    "to_jad": (lambda s, d: M.to_jad(g(s, d)), "SELECT perm, row_number() OVER (PARTITION BY g.i ORDER BY j) - 1 AS slot, g.i, j, v FROM g JOIN (SELECT i, row_number() OVER (ORDER BY count(*) DESC, i) - 1 AS perm FROM g GROUP BY i) p ON g.i = p.i"),
+    "to_bsr": (lambda s, d: M.to_bsr(g(s, d)), "SELECT i // 2 AS bi, j // 2 AS bj, i % 2 AS r, j % 2 AS c, v FROM g"),
+}
+
 
-def queries() -> dict:
-    return {}
+def updates(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/lineitem.parquet").select(((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000 + F.col("l_quantity")).alias("seq"), F.col("l_partkey").alias("i"), F.col("l_quantity").alias("v"))
+
+
+def entries(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/lineitem.parquet").select(((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000 + F.col("l_quantity")).alias("seq"), F.col("l_partkey").alias("i"), F.col("l_suppkey").alias("j"), F.col("l_quantity").alias("v"))
+
+
+def solved(method: str, precon: str = "none") -> Callable[[SparkSession, str], DataFrame]:
+    """Solves the grid system whose answer is 1 + i mod 7."""
+
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        a = operator(g(spark, d), GRID * GRID)
+        found = solvers.solve(a, a.dot(1.0 + np.arange(a.n) % 7), method, precon, tol=1e-11, maxiter=2000)
+        return spark.createDataFrame([(i, float(v)) for i, v in enumerate(found.x)], "i long, v double")
+
+    return query
+
+
+def eigenvalue(method: str) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        found = solvers.eigen(operator(g(spark, d), GRID * GRID), method, tol=1e-10, maxiter=5000)
+        return spark.createDataFrame([(float(found[0]),)], "evalue double")
+
+    return query
+
+
+EIGEN = {"pi": "cos(9 * pi() / 11)", "ii": "cos(pi() / 11)", "rqi": "cos(pi() / 11)", "cr": "cos(pi() / 11)"}
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(solved("cg")(spark, d), 6)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    found = {name: (lambda s, d, f=f: rounded(f(s, d))) for name, (f, _) in TABLE.items()}
+    found |= {f"solve_{k}": (lambda s, d, k=k: rounded(solved(k)(s, d))) for k in solvers.METHODS}
+    found |= {f"solve_{k}_jacobi": (lambda s, d, k=k: rounded(solved(k, "jacobi")(s, d))) for k in ("cg", "bicgstab", "gmres")}
+    return found | {f"eig_{k}": (lambda s, d, k=k: rounded(eigenvalue(k)(s, d), 6)) for k in EIGEN}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    def wrapped(select: str) -> str:
+        return f"{WITH} SELECT * REPLACE (round({'value' if 'AS value' in select else 'v'}, 4) + 0.0 AS {'value' if 'AS value' in select else 'v'}) FROM ({select})"
+
+    found = {name: wrapped(sql) for name, (_, sql) in TABLE.items()}
+    known = "SELECT CAST(i AS BIGINT) AS i, CAST(1 + i % 7 AS DOUBLE) AS v FROM (SELECT unnest(range(100)) AS i)"
+    found |= {f"solve_{k}": known for k in solvers.METHODS} | {f"solve_{k}_jacobi": known for k in ("cg", "bicgstab", "gmres")}
+    return found | {f"eig_{k}": f"SELECT round(4 - 4 * {c}, 6) AS evalue" for k, c in EIGEN.items()}
