@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -85,12 +86,16 @@ class Pieces:
         """Of each word: number of tokens, of fallback tokens; all token ids one after the other."""
 
         def compute(missing: np.ndarray) -> np.ndarray:
+            found = self.model.encode(W.texts(rows, first[missing]), num_threads=1)
+            n = np.fromiter(map(len, found), np.int64, len(found))
+            flat, ptr = np.fromiter(chain.from_iterable(found), np.int32, int(n.sum())), np.r_[0, np.cumsum(n)]
             out = np.zeros((missing.size, self.INLINE + 2), np.int32)
-            for i, ids in enumerate(self.model.encode(W.texts(rows, first[missing]), num_threads=1)):
-                out[i, 0], out[i, 1] = len(ids), int(self.fallback[ids].sum())
-                out[i, 2 : 2 + min(len(ids), self.INLINE)] = ids[: self.INLINE]
-                if len(ids) > self.INLINE:
-                    self.long[int(keys[missing[i]])] = np.array(ids, np.int32)
+            out[:, 0], out[:, 1] = n, W.sums(self.fallback[flat], ptr)
+            for k in range(self.INLINE):
+                has = n > k
+                out[has, 2 + k] = flat[ptr[:-1][has] + k]
+            for i in np.flatnonzero(n > self.INLINE).tolist():
+                self.long[int(keys[missing[i]])] = flat[ptr[i] : ptr[i + 1]].copy()
             return out
 
         if len(self.long) > self.memo.limit // 10:
