@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -128,6 +129,21 @@ def test_attention_lm(docs):
         assert r["score"] <= 0
 
 
+@pytest.mark.parametrize("scale", [1, 300])
+def test_attention_scores_as_it_trains(scale):
+    rand, of = np.random.RandomState(3), np.arange(400) % attention_lm.CLASSES
+    counts, after = rand.randint(0, 50, of.size), rand.randint(0, 9, (of.size, attention_lm.CLASSES))
+    model = attention_lm.Attention(attention_lm.Classes(of), attention_lm.Statistics.from_counts(counts, after, of))
+    for k in ("query", "out", "bias"):
+        model.w[k] = (model.w[k] + (k == "bias") * rand.randn(*model.w[k].shape) * 0.1).astype(np.float32) * scale
+    ids, goal = rand.randint(0, of.size, (9, attention_lm.SPAN)), rand.randint(-1, attention_lm.CLASSES, (9, attention_lm.BODY))
+    ids[:4, :5] = -1
+    loss = model.gradients(ids, goal)[0]
+    hit, begins = model.prepared().places(ids, goal)
+    assert np.isfinite(hit).all() and (begins <= 1e-6).all()
+    assert np.minimum(-hit[goal.ravel() >= 0], -np.log(1e-30)).mean() == pytest.approx(loss, rel=1e-3)
+
+
 def test_mixing(docs, empty):
     got = mix(docs).collect()
     assert len(got) == len(corpus())
