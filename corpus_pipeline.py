@@ -1,7 +1,7 @@
 """A training corpus from raw documents: the stages, each of one operator, and their run.
 
-Each stage works on all documents that its predecessor kept. Rows with a null doc_id can't be
-addressed by a decision; every stage but the last keeps them as they are.
+Each stage works on all documents that its predecessor kept. Rows with a null doc_id are judged by
+their text in the quality stage; the three stages after it can't address them and keep them as they are.
 """
 
 from __future__ import annotations
@@ -27,8 +27,11 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return without(docs, quality_rules(docs).where("not kept"))
+    """Documents that the quality rules keep; those without an id are judged by a hash of text and lang."""
+    nameless = docs.where("doc_id is null").withColumn("_key", F.xxhash64("text", "lang"))
+    failed = quality_rules(nameless, id_col="_key").where("not kept").select(F.col("doc_id").alias("_key")).distinct()
+    named = docs.where("doc_id is not null")
+    return without(named, quality_rules(named).where("not kept")).unionByName(nameless.join(failed, "_key", "left_anti").drop("_key"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,3 +28,14 @@ def test_near_duplicate_stage(spark):  # noqa: F811
             least[a] = least[b] = min(least[a], least[b])
     docs = spark.createDataFrame(rows, SCHEMA)
     assert {r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()} == {i for i in sets if least[i] == i}
+
+
+def test_quality_stage_judges_rows_without_id(spark):  # noqa: F811
+    from krylith.llm.quality_rules import quality_rules
+
+    words = "the of and to in is that for it was on are as with his they at be this from".split()
+    rows = [(i, t, "en", "s", 1, "x") for i, t in enumerate([" ".join(words), "too short", None, "bad " * 12])]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    kept = {r["doc_id"] for r in quality_rules(docs).where("kept").collect()}
+    got = corpus_pipeline.quality_stage(spark, spark.createDataFrame(rows + [(None, *r[1:]) for r in rows] * 2, SCHEMA), "").collect()
+    assert sorted((r["doc_id"] is None, r["text"]) for r in got) == sorted((n, rows[i][1]) for i in kept for n in (False, True, True))
