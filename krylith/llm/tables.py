@@ -8,13 +8,18 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Lets Spark remove the shuffle files of a query when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a temporary folder of this machine only where it is unset."""
+    """The session's spark.checkpoint.dir; where it is unset, a temporary folder of this machine, in local mode only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="krylith-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -27,10 +32,19 @@ class Scratch:
         self.spark, self.folder = spark, f"{shared_folder(spark)}/krylith-{uuid.uuid4().hex}"
         self.n = 0
 
-    def save(self, frame: DataFrame) -> DataFrame:
+    def save(self, frame: DataFrame, row_check: int | None = None, buckets: tuple[int, str] | None = None) -> DataFrame:
+        """row_check: look at the size of a Parquet row group after so many rows, for tables of few large rows."""
         self.n += 1
         path = f"{self.folder}/{self.n}"
-        frame.write.option("compression", "zstd").parquet(path)
+        writer = frame.write.option("compression", "zstd")
+        if row_check:
+            writer = writer.option("parquet.block.size.row.check.min", row_check).option("parquet.page.size.row.check.min", row_check)
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            writer.parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         saved = self.spark.read.schema(frame.schema).parquet(path)
         saved.scratch_path = path
         return saved

@@ -118,7 +118,7 @@ def test_language_id(docs, empty):
 
 
 def test_attention_lm(docs):
-    got = {r["doc_id"]: r for r in attention_lm.score(docs, F.col("doc_id") % 3 > 0, steps=5, sample=10).collect()}
+    got = {r["doc_id"]: r for r in attention_lm.score(docs, F.col("doc_id") % 3 > 0).collect()}
     tokens = {i: [*(re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in WORD.findall(t or "")), "</end> "] for i, t, *_ in corpus()}
     count = collections.Counter(w for i, ws in tokens.items() if i % 3 for w in ws)
     n, v = sum(count.values()), len(count)
@@ -132,8 +132,8 @@ def test_attention_lm(docs):
 @pytest.mark.parametrize("scale", [1, 300])
 def test_attention_scores_as_it_trains(scale):
     rand, of = np.random.RandomState(3), np.arange(400) % attention_lm.CLASSES
-    counts, after = rand.randint(0, 50, of.size), rand.randint(0, 9, (of.size, attention_lm.CLASSES))
-    model = attention_lm.Attention(attention_lm.Classes(of), attention_lm.Statistics.from_counts(counts, after, of))
+    counts, after = rand.randint(1, 50, of.size), rand.randint(0, 9, (of.size, attention_lm.CLASSES))
+    model = attention_lm.Attention(attention_lm.Classes(of), attention_lm.Statistics.from_counts(counts, after, after, np.minimum(counts, 2), of))
     for k in ("query", "out", "bias"):
         model.w[k] = (model.w[k] + (k == "bias") * rand.randn(*model.w[k].shape) * 0.1).astype(np.float32) * scale
     ids, goal = rand.randint(0, of.size, (9, attention_lm.SPAN)), rand.randint(-1, attention_lm.CLASSES, (9, attention_lm.BODY))
