@@ -99,7 +99,8 @@ class Pieces:
             return out
 
         if len(self.long) > self.memo.limit // 10:
-            self.long, self.memo.keys, self.memo.rows = {}, self.memo.keys[:0], self.memo.rows[:0]
+            self.long = {}
+            self.memo.clear()
         got = self.memo.get(keys, compute)
         counts = got[:, 0]
         ids = np.empty(int(counts.sum()), np.int32)

@@ -122,33 +122,49 @@ def sums(values: np.ndarray, ptr: np.ndarray) -> np.ndarray:
     return total[ptr[1:]] - total[ptr[:-1]]
 
 
+def found(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each key stands in the sorted table, and whether it is there."""
+    if not table.size:
+        return np.zeros(keys.size, np.int64), np.zeros(keys.size, bool)
+    at = np.minimum(np.searchsorted(table, keys), table.size - 1)
+    return at, table[at] == keys
+
+
 class Memo:
     """Rows of numbers by 64-bit key, for values that are dear to compute; dropped when full.
 
-    compute(indices) returns the rows of the missing keys. Forgetting changes no result.
+    compute(indices) returns the rows of the missing keys. Forgetting changes no result. New rows
+    first go to a small table, so that the large one is seldom rewritten.
     """
 
     def __init__(self, columns: int, limit: int = 400_000, dtype=np.int64):
-        self.limit, self.keys, self.rows = limit, np.zeros(0, U), np.zeros((0, columns), dtype)
+        self.limit, self.columns, self.dtype = limit, columns, dtype
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.rows = np.zeros(0, U), np.zeros((0, self.columns), self.dtype)
+        self.new_keys, self.new_rows = self.keys, self.rows
 
     def get(self, keys: np.ndarray, compute) -> np.ndarray:
         """keys: distinct and sorted."""
-        if self.keys.size:
-            at = np.minimum(np.searchsorted(self.keys, keys), self.keys.size - 1)
-            known = self.keys[at] == keys
-        else:
-            at, known = np.zeros(keys.size, np.int64), np.zeros(keys.size, bool)
-        out = np.empty((keys.size, self.rows.shape[1]), self.rows.dtype)
-        out[known] = self.rows[at[known]]
-        missing = np.flatnonzero(~known)
+        out = np.empty((keys.size, self.columns), self.dtype)
+        missing = np.arange(keys.size)
+        for table, rows in ((self.keys, self.rows), (self.new_keys, self.new_rows)):
+            at, known = found(table, keys[missing])
+            out[missing[known]] = rows[at[known]]
+            missing = missing[~known]
         if missing.size:
             out[missing] = compute(missing)
-            if self.keys.size + missing.size > self.limit:
-                self.keys, self.rows = keys, out
-            else:
-                into = np.searchsorted(self.keys, keys[missing])
-                self.keys = np.insert(self.keys, into, keys[missing])
-                self.rows = np.insert(self.rows, into, out[missing], axis=0)
+            if self.keys.size + self.new_keys.size + missing.size > self.limit:
+                self.clear()
+            into = np.searchsorted(self.new_keys, keys[missing])
+            self.new_keys = np.insert(self.new_keys, into, keys[missing])
+            self.new_rows = np.insert(self.new_rows, into, out[missing], axis=0)
+            if 8 * self.new_keys.size > self.keys.size:
+                into = np.searchsorted(self.keys, self.new_keys)
+                self.keys = np.insert(self.keys, into, self.new_keys)
+                self.rows = np.insert(self.rows, into, self.new_rows, axis=0)
+                self.new_keys, self.new_rows = self.new_keys[:0], self.new_rows[:0]
         return out
 
 
