@@ -1,15 +1,17 @@
 """Exact substring deduplication with a log-structured fingerprint index.
 
-Every window of `width` words has one anchor: the least hash among its runs of GRAM words. Equal
-windows have equal anchors, and a text has an anchor only at about each twelfth word, so the
-index holds anchors. It is a list of immutable runs (hash, count) sorted by hash. A batch of
-documents is aggregated, merge-joined with the runs to find the anchors seen before, and written
-as a new run; runs of one level are compacted into the next.
-
-An anchor that recurs only makes its windows candidates. Candidates are verified by the hash of all
-their words: one aggregation finds those that occur once, and only these go back to the texts.
-Words of the other candidates are removed. All recurrences are judged on the input, so the order
-of batches has no influence.
+Every window of `width` words has one fingerprint: the least hash among its runs of GRAM words. Equal
+windows have equal fingerprints, and a text has one only at about each twelfth word, so the index
+holds a twelfth of the windows' number. It is a list of immutable runs (hash, n), each in buckets
+sorted by hash. A batch of documents is aggregated in the same buckets, merge-joined with the runs,
+which are neither exchanged nor sorted again, and written as a new run; FANOUT runs of one level are
+compacted into one of the next, so a batch meets few runs however many came before it.
+
+A fingerprint that recurs only makes its windows candidates. Candidates are verified by a 128-bit
+hash of all their words: one aggregation finds those that occur once, and only these go back to the
+texts. Words of the other candidates are removed. All recurrences are judged on the input, so the
+order of batches has no influence. Places are kept by row, so rows without or with equal ids are
+rows of their own.
 """
 
 from __future__ import annotations
@@ -26,6 +28,9 @@ from krylith.llm import words as W
 from krylith.llm.tables import Scratch
 
 GRAM = 12
+SECOND_BASE = 0xAF251AF3B0F025B5
+#: Lets Spark use that a bucket of one file is sorted.
+ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 
 
 def sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
@@ -59,7 +64,7 @@ def anchors(rows: W.Slice, width: int, gram: int) -> tuple[np.ndarray, np.ndarra
 
 
 def fingerprints(docs: DataFrame, width: int, gram: int) -> DataFrame:
-    """doc_id and the anchors of each text, one entry for each place."""
+    """row and the anchors of each text, one entry for each place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -67,38 +72,51 @@ def fingerprints(docs: DataFrame, width: int, gram: int) -> DataFrame:
                 _, _, _, found, where, _ = anchors(rows, width, gram)
                 ptr = np.searchsorted(where, np.arange(rows.n + 1))
                 listed = pa.ListArray.from_arrays(pa.array(ptr, pa.int32()), pa.array(found.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[rows.at : rows.at + rows.n], listed], ["doc_id", "hashes"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[rows.at : rows.at + rows.n], listed], ["row", "hashes"])
 
-    return docs.mapInArrow(run, "doc_id long, hashes array<long>").where(F.size("hashes") > 0)
+    return docs.select("row", "text").mapInArrow(run, "row long, hashes array<long>").where(F.size("hashes") > 0)
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of (hash, n). Levels: a run of level k is compacted from FANOUT of level k-1."""
+    """Immutable runs of (hash, n), sorted in buckets. A run of level k + 1 is compacted from FANOUT runs of level k.
+
+    path: a folder to keep the runs in, with their levels in their names; an index that is there is opened.
+    """
 
     FANOUT = 4
+    SCHEMA = "hash BIGINT, n BIGINT"
 
-    def __init__(self, scratch: Scratch):
-        self.scratch, self.levels = scratch, [[]]
+    def __init__(self, scratch: Scratch, buckets: int = 64, path: str | None = None):
+        self.scratch, self.buckets, self.path, self.levels, self.written, self.compactions = scratch, buckets, path, [[]], 0, 0
+        for name in scratch.names(path) if path else []:
+            level, number = map(int, name.split("-")[1:])
+            self.levels += [[] for _ in range(level + 1 - len(self.levels))]
+            self.levels[level].append(scratch.open_sorted(f"{path}/{name}", self.SCHEMA, "hash", buckets))
+            self.written = max(self.written, number + 1)
 
     def runs(self) -> list[DataFrame]:
         return [run for level in self.levels for run in level]
 
-    def all(self) -> DataFrame:
-        first, *rest = self.runs()
-        for run in rest:
-            first = first.unionByName(run)
-        return first
-
-    def write(self, frame: DataFrame) -> DataFrame:
-        return self.scratch.save(frame.groupBy("hash").agg(F.sum("n").alias("n")).sortWithinPartitions("hash"))
+    def write(self, frame: DataFrame, level: int) -> DataFrame:
+        run = frame.groupBy("hash").agg(F.sum("n").alias("n"))
+        path = f"{self.path}/run-{level}-{self.written}" if self.path else None
+        self.written += 1
+        return self.scratch.save_sorted(run, "hash", self.buckets, path)
 
     def ingest(self, hashes: DataFrame) -> DataFrame:
         """Adds a batch (column hash, one row for each place); gives the hashes that it makes recur."""
-        new = self.write(hashes.select("hash", F.lit(1).cast("long").alias("n")))
+        spark = hashes.sparkSession
+        new = self.write(hashes.select("hash", F.lit(1).cast("long").alias("n")), 0)
         recurs = new.where("n > 1").select("hash")
         for run in self.runs():
             recurs = recurs.unionByName(new.join(run.where("n = 1").select("hash"), "hash", "left_semi").select("hash"))
-        recurs = self.scratch.save(recurs.distinct())
+            recurs = recurs.unionByName(new.join(run.where("n > 1").select("hash"), "hash", "left_semi").select("hash"))
+        before = spark.conf.get(ORDERED, "false")
+        spark.conf.set(ORDERED, "true")  # a bucket is one sorted file, or Spark sorts it
+        try:
+            recurs = self.scratch.save(recurs)
+        finally:
+            spark.conf.set(ORDERED, before)
         self.levels[0].append(new)
         level = 0
         while len(self.levels[level]) >= self.FANOUT:
@@ -114,24 +132,27 @@ class FingerprintIndex:
             merged = merged.unionByName(run)
         if len(self.levels) == level + 1:
             self.levels.append([])
-        self.levels[level + 1].append(self.write(merged))
+        self.levels[level + 1].append(self.write(merged, level + 1))
+        self.compactions += 1
         self.scratch.drop(*old)
 
 
 def candidates(docs: DataFrame, width: int, gram: int) -> DataFrame:
-    """docs: doc_id, text, hashes (its recurring anchors). The hash and the place of each candidate window."""
+    """docs: row, text, hashes (its recurring anchors). Two hashes and the place of each candidate window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, windows, first, doc in marked(batch, width, gram):
+            for rows, h, first, doc in marked(batch, width, gram):
                 ids = batch.column(0)[rows.at : rows.at + rows.n]
-                yield pa.RecordBatch.from_arrays([pa.array(windows.view(np.int64)), ids.take(pa.array(doc)), pa.array((first - rows.ptr[doc]), pa.int32())], ["window", "doc_id", "at"])
+                one = W.spans_hash(h, first, first + width, W._WINDOW_BASE)
+                two = W.spans_hash(W.mixed(h ^ W.U(0x5851F42D4C957F2D)), first, first + width, SECOND_BASE)
+                yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), ids.take(pa.array(doc)), pa.array((first - rows.ptr[doc]), pa.int32())], ["one", "two", "row", "at"])
 
-    return docs.select("doc_id", "text", "hashes").mapInArrow(run, "window long, doc_id long, at int")
+    return docs.select("row", "text", "hashes").mapInArrow(run, "one long, two long, row long, at int")
 
 
 def marked(batch: pa.RecordBatch, width: int, gram: int) -> Iterator[tuple[W.Slice, np.ndarray, np.ndarray, np.ndarray]]:
-    """Of each slice of doc_id, text, hashes: hash, first word and text of the windows with a recurring anchor."""
+    """Of each slice of row, text, hashes: hashes of its words; first word and text of the windows with a recurring anchor."""
     listed = batch.column(2)
     for rows in W.slices(batch.column(1)):
         least, first, docs, _, _, h = anchors(rows, width, gram)
@@ -142,11 +163,11 @@ def marked(batch: pa.RecordBatch, width: int, gram: int) -> Iterator[tuple[W.Sli
         else:
             hit = np.zeros(least.size, bool)
         first, docs = first[hit], docs[hit]
-        yield rows, W.spans_hash(h, first, first + width, W._WINDOW_BASE), first, docs
+        yield rows, h, first, docs
 
 
 def cut(docs: DataFrame, width: int, gram: int, with_text: bool) -> DataFrame:
-    """docs: doc_id, text, hashes, single (places of candidates that occur once). The remaining words of each text."""
+    """docs: row, text, hashes, single (places of candidates that occur once), doc_id. The remaining words of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,40 +189,36 @@ def cut(docs: DataFrame, width: int, gram: int, with_text: bool) -> DataFrame:
                     text = b" ".join([raw[x:y] for x, y in zip(starts[stay].tolist(), stops[stay].tolist())])
                     kept.append(text)
                     digest.append(hashlib.sha256(text).hexdigest())
-                columns = [batch.column(0)[rows.at : rows.at + rows.n], pa.array(np.diff(rows.ptr), pa.int64()), pa.array(W.sums(gone, rows.ptr), pa.int64()), pa.array(digest, pa.string())]
-                yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.binary()).cast(pa.string())] * with_text, ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * with_text)
+                columns = [*(batch.column(k)[rows.at : rows.at + rows.n] for k in (4, 0)), pa.array(np.diff(rows.ptr), pa.int64()), pa.array(W.sums(gone, rows.ptr), pa.int64()), pa.array(digest, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.binary()).cast(pa.string())] * with_text, ["doc_id", "row", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * with_text)
 
-    return docs.select("doc_id", "text", "hashes", "single").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
+    return docs.select("row", "text", "hashes", "single", "doc_id").mapInArrow(run, "doc_id long, row long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
 
 
-def substring_dedup(docs: DataFrame, width: int = 35, batches: int = 2, gram: int = GRAM, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def substring_dedup(docs: DataFrame, width: int = 35, batches: int = 5, gram: int = GRAM, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, kept_sha256 (and kept_text if asked for).
 
-    batches: the documents enter the index in so many parts. Null and short texts lose nothing. An
-    id stands for one text; a repeated row is the same sequence at another place, so all rows of
-    the id lose their windows. Rows with a null id lose nothing and don't count as another place.
-    An empty table gives an empty one.
+    batches: the documents enter the index in so many parts. Null and short texts lose nothing. A
+    repeated row is the same sequence at another place, so both lose their windows, and so are rows
+    with a null id or with the id of another text: each is judged and counted as a row. row_col: a
+    column that numbers the rows; the result then has it as row. An empty table gives an empty one.
     """
     scratch = Scratch(docs.sparkSession)
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    prints = scratch.save(fingerprints(picked.where("doc_id is not null"), width, gram))
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    texts = scratch.save(docs.select(row.cast("long").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text")))
+    prints = scratch.save(fingerprints(texts, width, gram))
     index = FingerprintIndex(scratch)
     recurs = None
     for part in range(batches):
-        batch = prints.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == part)
+        batch = prints.where(F.pmod(F.xxhash64("row"), F.lit(batches)) == part)
         found = index.ingest(batch.select(F.explode("hashes").alias("hash")))
         recurs = found if recurs is None else recurs.unionByName(found)
-    recurs = recurs.distinct()
-    each = prints.select("doc_id", F.explode(F.array_distinct("hashes")).alias("hash")).distinct()
-    hits = each.join(recurs, "hash", "left_semi").groupBy("doc_id").agg(F.collect_list("hash").alias("hashes"))
-    scratch.release()
-    texts = scratch.save(picked.join(hits, "doc_id", "left"))
-    scratch.release()
-    hit = texts.where("hashes is not null")
-    windows = candidates(hit, width, gram).groupBy("window").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"), F.min("at").alias("at"))
-    lone = scratch.save(windows.where("n = 1").groupBy("doc_id").agg(F.collect_list("at").alias("single")))
-    scratch.release()
-    none = F.array().cast("array<long>")
-    plain = texts.where("hashes is null").select("doc_id", "text", none.alias("hashes"), F.array().cast("array<int>").alias("single"))
-    joined = hit.join(lone, "doc_id", "left").select("doc_id", "text", "hashes", F.coalesce("single", F.array().cast("array<int>")).alias("single"))
-    return cut(plain.unionByName(joined), width, gram, with_text)
+    each = prints.select("row", F.explode(F.array_distinct("hashes")).alias("hash"))
+    hits = scratch.save(each.join(recurs, "hash", "left_semi").groupBy("row").agg(F.collect_list("hash").alias("hashes")))
+    scratch.drop(prints, *index.runs())
+    windows = candidates(texts.join(hits, "row"), width, gram).groupBy("one", "two").agg(F.count("*").alias("n"), F.min("row").alias("row"), F.min("at").alias("at"))
+    lone = scratch.save(windows.where("n = 1").groupBy("row").agg(F.collect_list("at").alias("single")))
+    marks = hits.join(lone, "row", "left")
+    found = texts.join(marks, "row", "left").withColumns({"hashes": F.coalesce("hashes", F.array().cast("array<long>")), "single": F.coalesce("single", F.array().cast("array<int>"))})
+    found = cut(found, width, gram, with_text)
+    return found if row_col else found.drop("row")

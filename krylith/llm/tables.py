@@ -32,7 +32,7 @@ class Scratch:
         self.spark, self.folder = spark, f"{shared_folder(spark)}/krylith-{uuid.uuid4().hex}"
         self.n = 0
 
-    def save(self, frame: DataFrame, row_check: int | None = None, buckets: tuple[int, str] | None = None) -> DataFrame:
+    def save(self, frame: DataFrame, row_check: int | None = None) -> DataFrame:
         """row_check: look at the size of a Parquet row group after so many rows, for tables of few large rows."""
         self.n += 1
         path = f"{self.folder}/{self.n}"
@@ -49,11 +49,43 @@ class Scratch:
         saved.scratch_path = path
         return saved
 
+    def save_sorted(self, frame: DataFrame, key: str, buckets: int, path: str | None = None) -> DataFrame:
+        """A table in buckets of the hash of key, each sorted by it: joins on key neither exchange nor sort it again."""
+        self.n += 1
+        path = path or f"{self.folder}/{self.n}"
+        name = f"krylith_{uuid.uuid4().hex}"
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            frame.repartition(buckets, key).write.option("compression", "zstd").option("path", path).bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
+        saved = self.spark.table(name)
+        saved.scratch_path, saved.scratch_table = path, name
+        return saved
+
+    def open_sorted(self, path: str, schema: str, key: str, buckets: int) -> DataFrame:
+        """A table that save_sorted wrote, in this session or an earlier one."""
+        name = f"krylith_{uuid.uuid4().hex}"
+        self.spark.sql(f"CREATE TABLE {name} ({schema}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {buckets} BUCKETS LOCATION '{path}'")
+        saved = self.spark.table(name)
+        saved.scratch_path, saved.scratch_table = path, name
+        return saved
+
+    def names(self, folder: str) -> list[str]:
+        """What lies in a folder, in order; nothing if it isn't there."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        where = jvm.org.apache.hadoop.fs.Path(folder)
+        system = where.getFileSystem(conf)
+        return sorted(f.getPath().getName() for f in system.listStatus(where)) if system.exists(where) else []
+
     def drop(self, *frames: DataFrame | None) -> None:
         """Removes tables that nothing reads any more."""
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         for frame in frames:
             if path := getattr(frame, "scratch_path", None):
+                if name := getattr(frame, "scratch_table", None):
+                    self.spark.sql(f"DROP TABLE IF EXISTS {name}")
                 where = jvm.org.apache.hadoop.fs.Path(path)
                 where.getFileSystem(conf).delete(where, True)
 
