@@ -80,18 +80,21 @@ def fingerprints(docs: DataFrame, width: int, gram: int) -> DataFrame:
 class FingerprintIndex:
     """Immutable runs of (hash, n), sorted in buckets. A run of level k + 1 is compacted from FANOUT runs of level k.
 
-    path: a folder to keep the runs in, with their levels in their names; an index that is there is opened.
+    buckets: as many as the session has shuffle partitions if not given, so that the grouping of a run already
+    deals it to its buckets. path: a folder to keep the runs in, named by level, number and buckets; an
+    index that is there is opened.
     """
 
     FANOUT = 4
     SCHEMA = "hash BIGINT, n BIGINT"
 
-    def __init__(self, scratch: Scratch, buckets: int = 64, path: str | None = None):
-        self.scratch, self.buckets, self.path, self.levels, self.written, self.compactions = scratch, buckets, path, [[]], 0, 0
+    def __init__(self, scratch: Scratch, buckets: int | None = None, path: str | None = None):
+        self.buckets = buckets or int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.scratch, self.path, self.levels, self.written, self.compactions = scratch, path, [[]], 0, 0
         for name in scratch.names(path) if path else []:
-            level, number = map(int, name.split("-")[1:])
+            level, number, dealt = map(int, name.split("-")[1:])
             self.levels += [[] for _ in range(level + 1 - len(self.levels))]
-            self.levels[level].append(scratch.open_sorted(f"{path}/{name}", self.SCHEMA, "hash", buckets))
+            self.levels[level].append(scratch.open_sorted(f"{path}/{name}", self.SCHEMA, "hash", dealt))
             self.written = max(self.written, number + 1)
 
     def runs(self) -> list[DataFrame]:
@@ -99,18 +102,17 @@ class FingerprintIndex:
 
     def write(self, frame: DataFrame, level: int) -> DataFrame:
         run = frame.groupBy("hash").agg(F.sum("n").alias("n"))
-        path = f"{self.path}/run-{level}-{self.written}" if self.path else None
+        path = f"{self.path}/run-{level}-{self.written}-{self.buckets}" if self.path else None
         self.written += 1
         return self.scratch.save_sorted(run, "hash", self.buckets, path)
 
     def ingest(self, hashes: DataFrame) -> DataFrame:
-        """Adds a batch (column hash, one row for each place); gives the hashes that it makes recur."""
+        """Adds a batch (column hash, one row for each place); gives the hashes that it makes recur: those that recur already were given before."""
         spark = hashes.sparkSession
         new = self.write(hashes.select("hash", F.lit(1).cast("long").alias("n")), 0)
         recurs = new.where("n > 1").select("hash")
         for run in self.runs():
             recurs = recurs.unionByName(new.join(run.where("n = 1").select("hash"), "hash", "left_semi").select("hash"))
-            recurs = recurs.unionByName(new.join(run.where("n > 1").select("hash"), "hash", "left_semi").select("hash"))
         before = spark.conf.get(ORDERED, "false")
         spark.conf.set(ORDERED, "true")  # a bucket is one sorted file, or Spark sorts it
         try:

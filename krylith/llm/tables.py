@@ -50,14 +50,17 @@ class Scratch:
         return saved
 
     def save_sorted(self, frame: DataFrame, key: str, buckets: int, path: str | None = None) -> DataFrame:
-        """A table in buckets of the hash of key, each sorted by it: joins on key neither exchange nor sort it again."""
+        """A table in buckets of the hash of key, each sorted by it: joins on key neither exchange nor sort it again.
+
+        frame should come out of a grouping by key over as many partitions as there are buckets: each is then one file.
+        """
         self.n += 1
         path = path or f"{self.folder}/{self.n}"
         name = f"krylith_{uuid.uuid4().hex}"
         before = self.spark.conf.get(CLEANUP, "false")
         self.spark.conf.set(CLEANUP, "true")
         try:
-            frame.repartition(buckets, key).write.option("compression", "zstd").option("path", path).bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+            frame.write.option("compression", "zstd").option("path", path).bucketBy(buckets, key).sortBy(key).saveAsTable(name)
         finally:
             self.spark.conf.set(CLEANUP, before)
         saved = self.spark.table(name)
