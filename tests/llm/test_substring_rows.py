@@ -57,7 +57,7 @@ def test_index_compacts_and_reopens(spark, tmp_path):  # noqa: F811
 def test_runs_are_merge_joined(spark):  # noqa: F811
     scratch = Scratch(spark)
     index = FingerprintIndex(scratch, 4)
-    one, two = (index.write(spark.range(50).selectExpr("id as hash", "1L as n"), 0) for _ in range(2))
+    one, two = (index.write(spark.range(50).selectExpr("id * 7 % 50 as hash", "1L as n"), 0) for _ in range(2))
     spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
