@@ -34,10 +34,23 @@ def xpay(a: DataFrame, alpha: float, b: DataFrame) -> DataFrame:
 
 
 def matmat(a: DataFrame, b: DataFrame) -> DataFrame:
+    """A B: joined on the inner index, summed before the shuffle by place."""
     right = b.select(F.col("i").alias("k"), F.col("j").alias("bj"), F.col("v").alias("bv"))
     return a.select("i", F.col("j").alias("k"), "v").join(right, "k").groupBy("i", F.col("bj").alias("j")).agg(F.sum(F.col("v") * F.col("bv")).alias("v"))
 
 
+def gram(a: DataFrame, salts: int = 16) -> DataFrame:
+    """A^T A: only places on and above the diagonal are multiplied out, and then mirrored.
+
+    A row's entries meet in pairs; one side carries a salt, the other goes to each salt, so a heavy row is worked on by `salts` tasks.
+    """
+    left = a.select("i", F.col("j").alias("p"), F.col("v").alias("pv"), F.pmod(F.hash("j"), F.lit(salts)).alias("salt"))
+    right = a.select("i", F.col("j").alias("q"), F.col("v").alias("qv"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    upper = left.join(right, ["i", "salt"]).where("p <= q").groupBy("p", "q").agg(F.sum(F.col("pv") * F.col("qv")).alias("v"))
+    mirrored = F.when(F.col("p") < F.col("q"), F.array(F.struct(F.col("p").alias("i"), F.col("q").alias("j")), F.struct(F.col("q").alias("i"), F.col("p").alias("j")))).otherwise(F.array(F.struct(F.col("p").alias("i"), F.col("q").alias("j"))))
+    return upper.select(F.explode(mirrored).alias("e"), "v").select("e.i", "e.j", "v")
+
+
 def diagonal(a: DataFrame) -> DataFrame:
     return a.where("i = j").select("i", "v")
 
@@ -84,9 +97,10 @@ def set_existing(a: DataFrame, updates: DataFrame) -> DataFrame:
 
 
 def to_csr(a: DataFrame) -> DataFrame:
-    """Position, row, column and value in row order; ptr of a row is the number of entries before it."""
-    sizes = a.groupBy("i").agg(F.count("*").alias("n"))
-    ptr = sizes.select("i", (F.sum("n").over(Window.orderBy("i")) - F.col("n")).alias("ptr"))
+    """Position, row, column and value in row order; the entries before a row are summed by stretches of rows."""
+    from krylith.operators.storage import offsets
+
+    ptr = offsets(a.groupBy("i").agg(F.count("*").alias("n")), "i", "n").select("i", "ptr")
     return a.join(ptr, "i").select((F.col("ptr") + F.row_number().over(Window.partitionBy("i").orderBy("j")) - 1).alias("pos"), "i", "j", "v")
 
 
@@ -110,11 +124,70 @@ def to_msr(a: DataFrame) -> DataFrame:
 
 def to_jad(a: DataFrame) -> DataFrame:
     """ELL with rows in the order of falling size: perm is a row's place."""
-    sizes = a.groupBy("i").agg(F.count("*").alias("n"))
-    perm = sizes.select("i", (F.row_number().over(Window.orderBy(F.desc("n"), "i")) - 1).alias("perm"))
+    from krylith.operators.storage import ranks
+
+    perm = ranks(a.groupBy("i").agg(F.count("*").alias("n")), -F.col("n"), "perm").select("i", "perm")
     return to_ell(a).join(perm, "i").select("perm", "slot", "i", "j", "v")
 
 
 def to_bsr(a: DataFrame, rows: int = 2, cols: int = 2) -> DataFrame:
     block = lambda c, n: F.floor(F.col(c) / n).cast("long")
     return a.select(block("i", rows).alias("bi"), block("j", cols).alias("bj"), (F.col("i") % rows).alias("r"), (F.col("j") % cols).alias("c"), "v")
+
+
+def axpyz(alpha: float, a: DataFrame, b: DataFrame) -> DataFrame:
+    """alpha A + B as a matrix of its own."""
+    return axpy(alpha, a, b)
+
+
+def set_block(a: DataFrame, rows: list[int], cols: list[int], values: list[list[float]], add: bool = True) -> DataFrame:
+    """Adds a dense block of values at rows x cols, or puts it there."""
+    new = a.sparkSession.createDataFrame([(i, j, float(values[r][c])) for r, i in enumerate(rows) for c, j in enumerate(cols)], "i long, j long, v double")
+    if add:
+        return axpy(1.0, new, a)
+    return a.join(new.select("i", "j"), ["i", "j"], "left_anti").select("i", "j", "v").unionByName(new)
+
+
+def nnz(a: DataFrame) -> DataFrame:
+    return a.agg(F.count("*").alias("value"))
+
+
+def shape(a: DataFrame) -> DataFrame:
+    return a.agg((F.max("i") + 1).alias("n_rows"), (F.max("j") + 1).alias("n_cols"))
+
+
+def outside(entries: DataFrame, n: int) -> DataFrame:
+    """Staged entries whose place is not in an n x n matrix."""
+    return entries.where((F.col("i") < 0) | (F.col("i") >= n) | (F.col("j") < 0) | (F.col("j") >= n) | F.col("i").isNull() | F.col("j").isNull())
+
+
+def diagonal_blocks(a: DataFrame, size: int) -> DataFrame:
+    """The diagonal blocks of size rows as (block, r, c, v)."""
+    block = lambda c: F.floor(F.col(c) / size).cast("long")
+    return a.where(block("i") == block("j")).select(block("i").alias("block"), (F.col("i") % size).alias("r"), (F.col("j") % size).alias("c"), "v")
+
+
+def blocks_matvec(d: DataFrame, size: int, x: DataFrame, adjoint: bool = False) -> DataFrame:
+    """Product of a block diagonal, or of its transpose, with a vector."""
+    a = d.select((F.col("block") * size + F.col("r")).alias("i"), (F.col("block") * size + F.col("c")).alias("j"), "v")
+    return matvech(a, x) if adjoint else matvec(a, x)
+
+
+def blocks_scale(alpha: float, d: DataFrame) -> DataFrame:
+    return d.select("block", "r", "c", (alpha * F.col("v")).alias("v"))
+
+
+def blocks_inverse(d: DataFrame, size: int) -> DataFrame:
+    """Inverses of the blocks; one row of numpy work for each."""
+    import numpy as np
+    import pandas as pd
+
+    def run(key, rows):
+        dense = np.zeros((size, size))
+        np.add.at(dense, (rows["r"].to_numpy(), rows["c"].to_numpy()), rows["v"].to_numpy())
+        have = np.unique(np.r_[rows["r"], rows["c"]])  # the last block may be smaller
+        found = np.linalg.inv(dense[np.ix_(have, have)])
+        r, c = np.meshgrid(have, have, indexing="ij")
+        return pd.DataFrame({"block": key[0], "r": r.ravel(), "c": c.ravel(), "v": found.ravel()})
+
+    return d.groupBy("block").applyInPandas(run, "block long, r long, c long, v double")

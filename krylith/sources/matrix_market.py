@@ -1,50 +1,180 @@
-"""Extended Matrix Market text files: a matrix, and right-hand side and solution if they follow it."""
+"""Extended Matrix Market text files: matrices with right-hand side and solution behind them, vectors, and plain vectors.
+
+Lines are numbered by their place in the file, whatever splits Spark reads it in: a split's lines
+are counted, and the counts of the splits before it added. The head is found by number, and the
+numbers of entries are compared with the size line.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+BANNER = "%%matrixmarket"
+
+
+def numbered(spark: SparkSession, path: str) -> DataFrame:
+    """line (from 0) and value of each line of one file, or of the part files of a folder in order of name."""
+    where = ["_metadata.file_path", "_metadata.file_block_start"]
+    lines = spark.read.text(path).select(*(F.col(c).alias(k) for c, k in zip(where, "fs")), F.monotonically_increasing_id().alias("at"), F.trim("value").alias("value"))
+    counts = lines.groupBy("f", "s").agg(F.count("*").alias("n"))
+    before = counts.select("f", "s", (F.sum("n").over(Window.orderBy("f", "s")) - F.col("n")).alias("before"))  # one row for a split
+    turn = F.row_number().over(Window.partitionBy("f", "s").orderBy("at")) - 1
+    return lines.withColumn("turn", turn).join(F.broadcast(before), ["f", "s"]).select((F.col("before") + F.col("turn")).alias("line"), "value")
+
+
+def body(lines: DataFrame, skip: Column, first: int) -> DataFrame:
+    """Lines after number first that skip doesn't take, numbered on from 0 without them."""
+    kept = lines.where((F.col("line") > first) & ~skip)
+    # lines that are skipped amid others are few: each line's number falls by those before it
+    gaps = lines.where((F.col("line") > first) & skip).select(F.col("line").alias("gap"))
+    if gaps.isEmpty():
+        return kept.select((F.col("line") - first - 1).alias("line"), "value")
+    both = kept.select("line", "value", F.lit(0).alias("g")).unionByName(gaps.select(F.col("gap").alias("line"), F.lit(None).cast("string").alias("value"), F.lit(1).alias("g")))
+    stretch = F.floor(F.col("line") / 65536)
+    per = both.groupBy(stretch.alias("k")).agg(F.sum("g").alias("n"))
+    before = per.select("k", (F.sum("n").over(Window.orderBy("k")) - F.col("n")).alias("b"))  # one row for a stretch of lines
+    inside = F.sum("g").over(Window.partitionBy("k").orderBy("line"))
+    counted = both.withColumn("k", stretch).withColumn("inside", inside).join(F.broadcast(before), "k")
+    return counted.where("g = 0").select((F.col("line") - first - 1 - F.col("b") - F.col("inside")).alias("line"), "value")
+
+
+def head_of(lines: DataFrame) -> tuple[list[str], int, str]:
+    """Words of the banner in lower case, and number and text of the first line that is neither empty nor a comment."""
+    banner = lines.where("line = 0").first()
+    words = (banner["value"] if banner else "").lower().split()
+    found = lines.where(~F.startswith("value", F.lit("%")) & (F.col("value") != "")).agg(F.min(F.struct("line", "value")).alias("m")).first()["m"]
+    if found is None:
+        raise ValueError("no size line")
+    return words, found["line"], found["value"]
+
+
+def values(parts: Column, at: int, kind: str) -> list[Column]:
+    """v, or re and im, from the fields of a line."""
+    if kind == "complex":
+        return [parts[at].cast("double").alias("re"), parts[at + 1].cast("double").alias("im")]
+    return [(F.lit(1.0) if kind == "pattern" else parts[at].cast("double")).alias("v")]
+
+
+def checked(frame: DataFrame, want: int, what: str) -> None:
+    have = frame.count()
+    if have != want:
+        raise ValueError(f"{what}: {have} lines, the size line says {want}")
+
 
 def read(spark: SparkSession, path: str) -> tuple[DataFrame, int, DataFrame | None, DataFrame | None]:
-    """(matrix, order, b, x) of a real coordinate file, general or symmetric; indices become 0-based."""
-    lines = spark.read.text(path, wholetext=False).withColumn("value", F.trim("value"))
-    head = lines.limit(1).first()
-    words = (head["value"] if head else "").lower().split()
-    if words[:1] != ["%%matrixmarket"] or "coordinate" not in words or "real" not in words or not {"general", "symmetric"} & set(words):
-        raise ValueError(f"not a real coordinate file: {path}")
-    body = lines.where(~F.startswith("value", F.lit("%")) & (F.col("value") != ""))
-    sizes = [int(v) for v in body.limit(1).first()["value"].split()]
-    if len(sizes) not in (3, 5, 6) or sizes[0] != sizes[1]:
-        raise ValueError(f"bad size line: {sizes}")
-    n, has_b, has_x = sizes[0], len(sizes) > 3 and sizes[3], len(sizes) > 3 and sizes[4]
-    parts = F.split("value", r"\s+")
-    size_line = " ".join(map(str, sizes))
-    rows = body.where(F.regexp_replace("value", r"\s+", " ") != size_line)
-    cells = rows.where(F.size(parts) == 3).select((parts[0].cast("long") - 1).alias("i"), (parts[1].cast("long") - 1).alias("j"), parts[2].cast("double").alias("v"))
-    if "symmetric" in words:
-        cells = cells.unionByName(cells.where("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), "v"))
-    if not (has_b or has_x):
-        return cells, n, None, None
-    tail = rows.where(F.size(parts) == 2).select((parts[0].cast("long") - 1).alias("i"), parts[1].cast("double").alias("v"), F.monotonically_increasing_id().alias("at"))
-    if has_b and has_x:  # the first row of each index is b, the second x
-        both = tail.groupBy("i").agg(F.min_by("v", "at").alias("b"), F.max_by("v", "at").alias("x"))
-        return cells, n, both.select("i", F.col("b").alias("v")), both.select("i", F.col("x").alias("v"))
-    vector = tail.select("i", "v")
-    return (cells, n, vector, None) if has_b else (cells, n, None, vector)
-
-
-def text(a: DataFrame, n: int, b: DataFrame | None = None) -> DataFrame:
-    """The lines (at, value) of a file, `at` in file order; a writer puts them out sorted by it."""
+    """(matrix, order, b, x) of a square coordinate or array file: real, integer, pattern or complex; general, symmetric, skew-symmetric or hermitian. Indices become 0-based."""
+    lines = numbered(spark, path).cache()
+    try:
+        words, first, size = head_of(lines)
+        if words[:2] != [BANNER, "matrix"] or len(words) < 5 or words[2] not in ("coordinate", "array") or words[3] not in ("real", "integer", "pattern", "complex") or words[4] not in ("general", "symmetric", "skew-symmetric", "hermitian"):
+            raise ValueError(f"not a matrix file that can be read: {path}")
+        _, _, shape, kind, symmetry = words[:5]
+        sizes = [int(w) for w in size.split()]
+        if len(sizes) not in ((2,) if shape == "array" else (3, 5, 6)) or sizes[0] != sizes[1]:
+            raise ValueError(f"bad size line: {size}")
+        n = sizes[0]
+        skip = F.startswith("value", F.lit("%")) | (F.col("value") == "")
+        rows = body(lines, skip, first).withColumn("p", F.split("value", r"\s+"))
+        p = F.col("p")
+        if shape == "array":
+            if symmetry != "general":
+                raise ValueError("array files are general")
+            checked(rows, n * n, path)
+            at = [(F.col("line") % n).alias("i"), F.floor(F.col("line") / n).cast("long").alias("j")]
+            return rows.select(*at, *values(p, 0, kind)), n, None, None
+        nnz, flags = sizes[2], [*sizes[3:5], 0, 0][:2]
+        checked(rows, nnz + n * sum(map(bool, flags)), path)
+        entries = rows.where(F.col("line") < nnz).select((p[0].cast("long") - 1).alias("i"), (p[1].cast("long") - 1).alias("j"), *values(p, 2, kind))
+        if symmetry != "general":
+            sign = -1 if symmetry == "skew-symmetric" else 1
+            turned = {c: F.col(c) * (sign if c != "im" or symmetry != "hermitian" else -1) for c in entries.columns[2:]}
+            off = entries.where("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), *(v.alias(c) for c, v in turned.items()))
+            entries = entries.unionByName(off)
+        vectors = []
+        for k, there in enumerate(flags):
+            start = nnz + n * sum(map(bool, flags[:k]))
+            vectors.append(rows.where((F.col("line") >= start) & (F.col("line") < start + n)).select((p[0].cast("long") - 1).alias("i"), *values(p, 1, kind)) if there else None)
+        return entries, n, *vectors
+    finally:
+        lines.unpersist()
+
+
+def read_vector(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
+    """(i, v) or (i, re, im) and the length of a vector file: Matrix Market with a banner, else plain, one value a line or several."""
+    lines = numbered(spark, path)
+    banner = lines.where("line = 0").first()
+    words = (banner["value"] if banner else "").lower().split()
+    if words[:1] == [BANNER]:
+        if words[1:3] not in (["vector", "coordinate"], ["vector", "array"]):
+            raise ValueError(f"not a vector: {path}")
+        _, first, size = head_of(lines)
+        n = int(size.split()[0])
+        rows = body(lines, F.startswith("value", F.lit("%")) | (F.col("value") == ""), first)
+        p = F.split("value", r"\s+")
+        if words[2] == "array":
+            checked(rows, n, path)
+            return rows.select(F.col("line").alias("i"), *values(p, 0, words[3])), n
+        return rows.select((p[0].cast("long") - 1).alias("i"), *values(p, 1, words[3])), n
+    rows = body(lines, F.col("value") == "", -1)
+    cells = rows.select("line", F.posexplode(F.split("value", r"\s+")).alias("at", "t"))
+    most = cells.agg(F.max("at")).first()[0] or 0
+    n = cells.count()
+    if most == 0:
+        return cells.select(F.col("line").alias("i"), F.col("t").cast("double").alias("v")), n
+    width = most + 1  # all lines but the last hold as many
+    return cells.select((F.col("line") * width + F.col("at")).alias("i"), F.col("t").cast("double").alias("v")), n
+
+
+def number(*columns: str) -> Column:
+    return F.concat_ws(" ", *(F.format_string("%.17e", F.col(c)) for c in columns))
+
+
+def text(a: DataFrame, n: int, b: DataFrame | None = None, x: DataFrame | None = None) -> DataFrame:
+    """The lines (part, i, j, value) of a file, to be put out in this order."""
     spark, nnz = a.sparkSession, a.count()
-    head = spark.createDataFrame([(0, 0, 0, "%%MatrixMarket matrix coordinate real general"), (1, 0, 0, f"{n} {n} {nnz}" + (" 1 0" if b is not None else ""))], "part int, i long, j long, value string")
-    number = lambda c: F.format_string("%.20e", F.col(c))
-    lines = head.unionByName(a.select(F.lit(2).alias("part"), "i", "j", F.concat_ws(" ", F.col("i") + 1, F.col("j") + 1, number("v")).alias("value")))
-    if b is not None:
-        lines = lines.unionByName(b.select(F.lit(3).alias("part"), "i", F.lit(0).cast("long").alias("j"), F.concat_ws(" ", F.col("i") + 1, number("v")).alias("value")))
+    fields = [c for c in a.columns if c in ("v", "re", "im")]
+    kind = "real" if fields == ["v"] else "complex"
+    size = f"{n} {n} {nnz}" + (f" {int(b is not None)} {int(x is not None)}" if b is not None or x is not None else "")
+    lines = spark.createDataFrame([(0, 0, 0, f"%%MatrixMarket matrix coordinate {kind} general"), (1, 0, 0, size)], "part int, i long, j long, value string")
+    lines = lines.unionByName(a.select(F.lit(2).alias("part"), "i", "j", F.concat_ws(" ", F.col("i") + 1, F.col("j") + 1, number(*fields)).alias("value")))
+    for part, vector in ((3, b), (4, x)):
+        if vector is not None:
+            lines = lines.unionByName(vector.select(F.lit(part).alias("part"), "i", F.lit(0).cast("long").alias("j"), F.concat_ws(" ", F.col("i") + 1, number(*fields)).alias("value")))
     return lines
 
 
-def write(a: DataFrame, n: int, path: str, b: DataFrame | None = None) -> None:
-    """One text file in a folder: the format has no parts, so its lines meet in one ordered task."""
-    text(a, n, b).repartition(1).sortWithinPartitions("part", "i", "j").select("value").write.mode("overwrite").text(path)
+def array_text(a: DataFrame, n: int) -> DataFrame:
+    """The lines of a dense matrix by columns; places that aren't stored are 0."""
+    spark = a.sparkSession
+    lines = spark.createDataFrame([(0, 0, 0, "%%MatrixMarket matrix array real general"), (1, 0, 0, f"{n} {n}")], "part int, i long, j long, value string")
+    grid = spark.range(n * n).select((F.col("id") % n).alias("i"), F.floor(F.col("id") / n).cast("long").alias("j")).join(a, ["i", "j"], "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
+    return lines.unionByName(grid.select(F.lit(2).alias("part"), F.col("j").alias("i"), F.col("i").alias("j"), number("v").alias("value")))
+
+
+def vector_text(x: DataFrame, n: int, form: str = "mm") -> DataFrame:
+    """The lines of a vector: form mm or plain."""
+    lines = x.select(F.lit(2).alias("part"), "i", F.lit(0).cast("long").alias("j"), (F.concat_ws(" ", F.col("i") + 1, number("v")) if form == "mm" else number("v")).alias("value"))
+    if form == "plain":
+        return lines
+    if form != "mm":
+        raise ValueError(f"unknown form {form}")
+    return x.sparkSession.createDataFrame([(0, 0, 0, "%%MatrixMarket vector coordinate real general"), (1, 0, 0, str(n))], "part int, i long, j long, value string").unionByName(lines)
+
+
+def put(lines: DataFrame, path: str) -> None:
+    """Part files in a folder whose names sort in the order of the lines: each task writes a range of them."""
+    lines.repartitionByRange("part", "i", "j").sortWithinPartitions("part", "i", "j").select("value").write.mode("overwrite").text(path)
+
+
+def write(a: DataFrame, n: int, path: str, b: DataFrame | None = None, x: DataFrame | None = None) -> None:
+    put(text(a, n, b, x), path)
+
+
+def write_vector(x: DataFrame, n: int, path: str, form: str = "mm") -> None:
+    put(vector_text(x, n, form), path)
+
+
+def write_history(spark: SparkSession, history: list[float], path: str) -> None:
+    """The residual norms of a solve as a plain vector."""
+    write_vector(spark.createDataFrame(list(enumerate(map(float, history))), "i long, v double"), len(history), path, "plain")
