@@ -5,11 +5,13 @@ sizes, and no source gets more than `most` times its own. A source's complete ep
 documents; the rest of its target takes documents in the order of exponential keys scaled by
 quality weight. The prefix sums of that order go through buckets of the key: sizes are summed by
 bucket, then over buckets, and only inside a bucket over documents, so no task sorts a whole source.
+Keys of weight w are exponential with rate w; buckets are even steps of the mixture of these
+distributions, by the number of documents of each weight, so they hold about as many documents each.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from krylith.llm.tables import Scratch
@@ -32,20 +34,36 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], total_share: float, mo
     return listed.select("source", "source_size", F.least("cap", F.coalesce(reached * F.col("weight"), F.col("cap"))).alias("target"))
 
 
-def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[float, ...] = (5, 2, 1), total_share: float = 1.5, most: float = 2.0, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per input row: doc_id, source, size, source_size, target, epochs, taken.
+def steps(sized: DataFrame) -> Column:
+    """The share of all keys that lie below a row's key: a mixture over weights, in classes of half a power of two (at most 129)."""
+    power = F.greatest(F.lit(-64), F.least(F.lit(64), F.round(2 * F.log2("weight")))).cast("int")
+    found = sized.groupBy(power.alias("power")).agg(F.count("*").alias("n")).collect()
+    total = max(sum(r["n"] for r in found), 1)
+    share = F.lit(0.0)
+    for r in sorted(found, key=lambda r: r["power"]):
+        share = share + F.lit(r["n"] / total) * (1 - F.exp(F.lit(-(2.0 ** (r["power"] / 2))) * F.col("key")))
+    return share
+
+
+def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[float, ...] = (5, 2, 1), total_share: float = 1.5, most: float = 2.0, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: bool = False) -> DataFrame:
+    """One row per input row: doc_id, source, size, source_size, target, epochs, taken; with carry also the row as a struct, carried.
 
     quality: id and weight of documents, one row for an id; documents without a positive weight have 1. Null texts have size 0. A document is taken `epochs` times, and once more if the middle of
     its place in the prefix sums lies in the rest of the target. Equal keys go by id, then size;
-    repeated rows are documents of their own. Keys depend on seed and id alone, so reruns agree.
+    repeated rows are documents of their own. Keys depend on seed and id alone, so reruns agree. One
+    task ranks the sources, a row for each. An empty table gives an empty table.
     """
     scratch = Scratch(docs.sparkSession)
     unit = (F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 52)) + F.lit(0.5)) / float(1 << 52)
-    sized = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), (-F.log(unit)).alias("key"))
+    extra = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("carried")] if carry else []
+    sized = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), (-F.log(unit)).alias("key"), *extra)
     if quality is not None:
-        marks = quality.toDF("doc_id", "quality_weight").where("doc_id is not null and quality_weight > 0")
-        sized = sized.join(marks, "doc_id", "left").withColumn("key", F.col("key") / F.coalesce("quality_weight", F.lit(1.0))).drop("quality_weight")
-    sized = scratch.save(sized.withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * BUCKETS).cast("int")))
+        marks = quality.toDF("doc_id", "weight").where("doc_id is not null and weight > 0")
+        sized = sized.join(marks, "doc_id", "left").withColumn("weight", F.coalesce(F.col("weight").cast("double"), F.lit(1.0)))
+    else:
+        sized = sized.withColumn("weight", F.lit(1.0))
+    sized = scratch.save(sized.withColumn("key", F.col("key") / F.col("weight")))
+    sized = sized.withColumn("bucket", F.floor(steps(sized) * BUCKETS).cast("int")).drop("weight")
     aimed = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, total_share, most)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.greatest("source_size", F.lit(1)))).otherwise(F.lit(0)).cast("long")
     aimed = scratch.save(aimed.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")))
@@ -56,4 +74,5 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[float,
     rows = sized.join(placed, F.col("source").eqNullSafe(F.col("at_source")) & (F.col("bucket") == F.col("at_bucket")))
     inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     middle = F.col("before") + F.sum("size").over(inside) - F.col("size") / 2
-    return rows.withColumn("more", (middle <= F.col("rest")).cast("long")).select("doc_id", "source", "size", "source_size", "target", "epochs", (F.col("size") * (F.col("epochs") + F.col("more"))).alias("taken"))
+    taken = (F.col("size") * (F.col("epochs") + F.col("more"))).alias("taken")
+    return rows.withColumn("more", (middle <= F.col("rest")).cast("long")).select("doc_id", "source", "size", "source_size", "target", "epochs", taken, *(["carried"] if carry else []))

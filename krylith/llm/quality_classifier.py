@@ -3,8 +3,8 @@
 A text is cut into chunks that overlap by as much as a filter is wide beyond its stride, so the
 filters see every place of the whole text. Each chunk is max-pooled; the text's features are the
 largest and the mean of its chunks' values, and a logistic unit combines them into one
-probability. Training takes at most `sample` labelled documents of each class, and of each at
-most `chunks` evenly spaced chunks; scoring takes all of every text.
+probability. Training takes at most `sample` labelled documents of each class, all chunks of each;
+scoring takes all of every text.
 """
 
 from __future__ import annotations
@@ -142,33 +142,25 @@ def train(cut: np.ndarray, docs: np.ndarray, target: np.ndarray, steps: int = 60
     return net
 
 
-def fit(docs: DataFrame, labels: DataFrame, training: Column, sample: int = 2000, most_chunks: int = 8, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Network:
+def fit(docs: DataFrame, labels: DataFrame, training: Column, sample: int = 2000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Network:
     """Trains on at most `sample` documents of each class, taken in the order of a hash of their id.
 
-    labels: one label for an id (the larger if it has several). Without labelled documents the
-    network is untrained.
+    labels: one label for an id (the larger if it has several); of rows that share an id the first text
+    counts. The sampled texts go to the driver whole. Without labelled documents the network is untrained.
     """
     marks = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("label"))
     marks = marks.where(training)
     order = F.xxhash64(F.lit(11), F.col(id_col))
     picked = marks.where("label = 1").orderBy(order, id_col).limit(sample).unionByName(marks.where("label = 0").orderBy(order, id_col).limit(sample))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows in W.slices(batch.column(2)):
-                cut, of = chunks(rows.data, rows.off)
-                ptr = np.searchsorted(of, np.arange(rows.n + 1))
-                some = [np.unique(np.linspace(a, b - 1, min(b - a, most_chunks)).astype(np.int64)) if b > a else np.zeros(0, np.int64) for a, b in zip(ptr[:-1].tolist(), ptr[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[rows.at : rows.at + rows.n], batch.column(1)[rows.at : rows.at + rows.n], pa.array([cut[s].tobytes() for s in some], pa.binary())], ["doc_id", "label", "chunks"])
-
     texts = docs.select(F.col(id_col), F.col(text_col).cast("string").cast("binary").alias("text"))
     joined = texts.join(F.broadcast(picked), id_col).select(F.col(id_col).cast("long").alias("doc_id"), "label", "text")  # picked: 2 * sample rows at most
-    found = joined.mapInArrow(run, "doc_id long, label int, chunks binary").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+    found = joined.groupBy("doc_id").agg(F.max("label").alias("label"), F.min("text").alias("text")).toPandas().sort_values("doc_id")
     if found.empty:
         return Network.fresh()
-    size = np.array([len(x) // CHUNK for x in found["chunks"]])
-    cut = np.frombuffer(b"".join(found["chunks"]), np.uint8).reshape(-1, CHUNK)
-    return train(cut, np.repeat(np.arange(size.size), size), found["label"].to_numpy().astype(np.float64))
+    texts = [x or b"" for x in found["text"]]
+    cut, of = chunks(np.frombuffer(b"".join(texts), np.uint8), np.r_[0, np.cumsum([len(x) for x in texts])])
+    return train(cut, of, found["label"].to_numpy().astype(np.float64))
 
 
 def classify(docs: DataFrame, network: Network, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

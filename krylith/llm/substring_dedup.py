@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from krylith.llm import words as W
 from krylith.llm.tables import Scratch
@@ -189,25 +190,36 @@ def cut(docs: DataFrame, width: int, gram: int, with_text: bool) -> DataFrame:
                     a, b = rows.ptr[i], rows.ptr[i + 1]
                     stay = np.flatnonzero(~gone[a:b]) + a
                     text = b" ".join([raw[x:y] for x, y in zip(starts[stay].tolist(), stops[stay].tolist())])
-                    kept.append(text)
+                    kept.append(text if stay.size < b - a else batch.column(1)[rows.at + i].as_py())
                     digest.append(hashlib.sha256(text).hexdigest())
                 columns = [*(batch.column(k)[rows.at : rows.at + rows.n] for k in (4, 0)), pa.array(np.diff(rows.ptr), pa.int64()), pa.array(W.sums(gone, rows.ptr), pa.int64()), pa.array(digest, pa.string())]
-                yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.binary()).cast(pa.string())] * with_text, ["doc_id", "row", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * with_text)
+                if with_text:
+                    columns.append(pa.array(kept, pa.binary()).cast(pa.string()))
+                if carried:
+                    columns.append(batch.column(5)[rows.at : rows.at + rows.n])
+                yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select("row", "text", "hashes", "single", "doc_id").mapInArrow(run, "doc_id long, row long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
+    schema = T.StructType.fromDDL("doc_id long, row long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
+    carried = "carried" in docs.columns
+    if carried:
+        schema.add(docs.schema["carried"])
+    names = schema.names
+    return docs.select("row", "text", "hashes", "single", "doc_id", *["carried"] * carried).mapInArrow(run, schema)
 
 
-def substring_dedup(docs: DataFrame, width: int = 35, batches: int = 5, gram: int = GRAM, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
-    """One row per input row: doc_id, n_words, n_removed, kept_sha256 (and kept_text if asked for).
+def substring_dedup(docs: DataFrame, width: int = 35, batches: int = 5, gram: int = GRAM, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, carry: bool = False) -> DataFrame:
+    """One row per input row: doc_id, n_words, n_removed, kept_sha256 (and kept_text if asked for: a text that loses nothing as it is, null too).
 
     batches: the documents enter the index in so many parts. Null and short texts lose nothing. A
     repeated row is the same sequence at another place, so both lose their windows, and so are rows
     with a null id or with the id of another text: each is judged and counted as a row. row_col: a
-    column that numbers the rows; the result then has it as row. An empty table gives an empty one.
+    column that numbers the rows; the result then has it as row. carry: the result has the input's other
+    columns as a struct, carried. An empty table gives an empty one.
     """
     scratch = Scratch(docs.sparkSession)
+    extra = [F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col), F.lit(0).alias("_last")).alias("carried")] if carry else []
     row = F.col(row_col) if row_col else F.monotonically_increasing_id()
-    texts = scratch.save(docs.select(row.cast("long").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text")))
+    texts = scratch.save(docs.select(row.cast("long").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"), *extra))
     prints = scratch.save(fingerprints(texts, width, gram))
     index = FingerprintIndex(scratch)
     recurs = None
@@ -218,7 +230,7 @@ def substring_dedup(docs: DataFrame, width: int = 35, batches: int = 5, gram: in
     each = prints.select("row", F.explode(F.array_distinct("hashes")).alias("hash"))
     hits = scratch.save(each.join(recurs, "hash", "left_semi").groupBy("row").agg(F.collect_list("hash").alias("hashes")))
     scratch.drop(prints, *index.runs())
-    windows = candidates(texts.join(hits, "row"), width, gram).groupBy("one", "two").agg(F.count("*").alias("n"), F.min("row").alias("row"), F.min("at").alias("at"))
+    windows = candidates(texts.select("row", "text").join(hits, "row"), width, gram).groupBy("one", "two").agg(F.count("*").alias("n"), F.min("row").alias("row"), F.min("at").alias("at"))
     lone = scratch.save(windows.where("n = 1").groupBy("row").agg(F.collect_list("at").alias("single")))
     marks = hits.join(lone, "row", "left")
     found = texts.join(marks, "row", "left").withColumns({"hashes": F.coalesce("hashes", F.array().cast("array<long>")), "single": F.coalesce("single", F.array().cast("array<int>"))})
