@@ -7,7 +7,9 @@ hash is a polynomial over random byte values, taken from prefix sums, and then m
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n."""
     have = _powers.get(base)
     if have is None or have[0].size < n:
-        size = max(n, 1 << 21)
+        size = 1 << max(16, (n - 1).bit_length())
         up, down = np.full(size, base, U), np.full(size, pow(base, -1, 2**64), U)
         up[0] = down[0] = 1
         have = _powers[base] = np.multiply.accumulate(up), np.multiply.accumulate(down)
@@ -105,6 +107,21 @@ def column(array: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
+@cache
+def _trimmer():
+    """malloc_trim of the C library, where it has one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):
+        return lambda _: 0
+
+
+def trim() -> None:
+    """Gives freed memory back to the system, so that a worker that waits for its next task holds little."""
+    pa.default_memory_pool().release_unused()
+    _trimmer()(0)
+
+
 def slices(array: pa.Array, size: int | None = None) -> Iterator[Slice]:
     """The rows of a column in order, in slices of about size bytes."""
     data, off = column(array)
@@ -113,6 +130,7 @@ def slices(array: pa.Array, size: int | None = None) -> Iterator[Slice]:
         j = min(n, max(i + 1, int(np.searchsorted(off, off[i] + size, "right")) - 1))
         yield Slice(data[off[i] : off[j]], off[i : j + 1] - off[i], i)
         i = j
+    trim()
 
 
 def sums(values: np.ndarray, ptr: np.ndarray) -> np.ndarray:
