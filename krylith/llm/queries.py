@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from krylith.llm import attention_lm, language_id, quality_classifier
+from krylith.llm import attention_lm, language_id, oracles, quality_classifier
 from krylith.llm.decontaminate import decontaminate
 from krylith.llm.html_text import extract_text
 from krylith.llm.mixing import mix
@@ -83,4 +83,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_decontaminate": oracles.DECONTAMINATE, "op2_near_duplicates": oracles.NEAR_DUPLICATES, "op9_substring_dedup": oracles.SUBSTRING_DEDUP, "op10_mixing": oracles.MIXING}
