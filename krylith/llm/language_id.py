@@ -112,8 +112,9 @@ class Model:
         order = np.argsort(-length, kind="stable")
         begin, length = ptr[:-1][order], length[order]
         n, k = score.shape
-        back, label = np.zeros((n, k), np.int8), np.zeros(n, np.int8)
-        own, v = np.arange(k, dtype=np.int8)[None, :], np.zeros((order.size, k), np.float32)
+        small = np.int8 if k < 128 else np.int32
+        back, label = np.zeros((n, k), small), np.zeros(n, small)
+        own, v = np.arange(k, dtype=small)[None, :], np.zeros((order.size, k), np.float32)
         steps = int(length[0]) if length.size else 0
         active = np.searchsorted(-length, -np.arange(steps), "left")
         for t in range(steps):
@@ -123,7 +124,7 @@ class Model:
             stay = w >= best
             back[at] = np.where(stay, own, w.argmax(1)[:, None])
             v[:a] = np.where(stay, w, best) + score[at]
-        state = v.argmax(1).astype(np.int8) if k else np.zeros(order.size, np.int8)
+        state = v.argmax(1).astype(small) if k else np.zeros(order.size, small)
         for t in range(steps - 1, -1, -1):
             a = active[t]
             at = begin[:a] + t

@@ -139,3 +139,24 @@ def test_html_examples(html, want):
 def test_html_broken_and_long():
     assert isinstance(visible_text("<a href='x>y" + "<b>" * 500), str)
     assert visible_text("<p>word</p>" * 20_000).count("word") == 20_000
+
+
+@pytest.mark.parametrize("k", [1, 3, 127, 128, 300])
+def test_labels_with_many_languages(k):
+    """The path that the labels take scores as much as the best one, found state by state."""
+    random = np.random.RandomState(k)
+    lengths = [0, 1, 7, 12]
+    ptr = np.r_[0, np.cumsum(lengths)]
+    score = (random.rand(ptr[-1], k) * 40).astype(np.float32)
+    model = language_id.Model([str(i) for i in range(k)], np.zeros((k, 1), np.float32), np.zeros(k, np.int64), penalty=15.0)
+    found = model.labels(score, ptr).astype(int)
+    assert found.size == ptr[-1] and (not found.size or 0 <= found.min() <= found.max() < k)
+    for a, b in zip(ptr[:-1], ptr[1:]):
+        if a == b:
+            continue
+        best = score[a].astype(float)
+        for row in score[a + 1 : b].astype(float):
+            best = np.maximum(best, best.max() - 15.0) + row
+        path = found[a:b]
+        worth = sum(float(score[a + i, p]) for i, p in enumerate(path)) - 15.0 * int((path[1:] != path[:-1]).sum())
+        assert math.isclose(worth, best.max(), rel_tol=1e-4)
