@@ -45,17 +45,22 @@ def steps(sized: DataFrame) -> Column:
     return share
 
 
-def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[float, ...] = (5, 2, 1), total_share: float = 1.5, most: float = 2.0, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: bool = False) -> DataFrame:
+def md5_draw(seed: int = 42, id_col: str = "doc_id") -> Column:
+    """A draw that other engines find too: 52 bits of the MD5 of seed and id."""
+    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("")))), 1, 13)
+    return (F.conv(digits, 16, 10).cast("double") + F.lit(0.5)) / float(1 << 52)
+
+
+def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[float, ...] = (5, 2, 1), total_share: float = 1.5, most: float = 2.0, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: bool = False, draw: Column | None = None) -> DataFrame:
     """One row per input row: doc_id, source, size, source_size, target, epochs, taken; with carry also the row as a struct, carried.
 
     quality: id and weight of documents, one row for an id; documents without a positive weight have 1. Null texts have size 0. A document is taken `epochs` times, and once more if the middle of
     its place in the prefix sums lies in the rest of the target. Equal keys go by id, then size;
-    repeated rows are documents of their own. Keys come from the MD5 of seed and id alone, so reruns agree and other engines find them too. One
+    repeated rows are documents of their own. draw: a number of docs between 0 and 1, both excluded, that gives a row's key; without it, keys depend on seed and id alone, so reruns agree. One
     task ranks the sources, a row for each. An empty table gives an empty table.
     """
     scratch = Scratch(docs.sparkSession)
-    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("")))), 1, 13)
-    unit = (F.conv(digits, 16, 10).cast("double") + F.lit(0.5)) / float(1 << 52)
+    unit = (F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 52)) + F.lit(0.5)) / float(1 << 52) if draw is None else draw
     extra = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("carried")] if carry else []
     sized = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), (-F.log(unit)).alias("key"), *extra)
     if quality is not None:

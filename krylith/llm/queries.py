@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from krylith.llm import attention_lm, language_id, oracles, quality_classifier
 from krylith.llm.decontaminate import decontaminate
 from krylith.llm.html_text import extract_text
-from krylith.llm.mixing import mix
+from krylith.llm.mixing import md5_draw, mix
 from krylith.llm.near_duplicates import near_duplicates
 from krylith.llm.quality_rules import quality_rules
 from krylith.llm.substring_dedup import substring_dedup
@@ -75,7 +75,7 @@ def quality_weights(labels: DataFrame) -> DataFrame:
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights = quality_weights(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return mix(documents(spark, sf_dir), weights).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(documents(spark, sf_dir), weights, draw=md5_draw()).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
