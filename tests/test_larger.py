@@ -30,3 +30,10 @@ def test_vbr_blocks_stay_small(spark):
     x = spark.createDataFrame([(i, float(i)) for i in range(301)], "i long, v double")
     i, j, v = ring(301)
     assert np.allclose([r["v"] for r in storage.spmv(packed, "vbr", x).orderBy("i").collect()], np.bincount(i, v * j))
+
+
+def test_vbr_product_needs_no_lookup(spark):
+    """A cell of a block isn't looked up among the block's entries."""
+    plan = storage.spmv(storage.pack(frame(spark, 30), 30, "vbr", bounds=[0, 10, 11]), "vbr", spark.range(30).selectExpr("id AS i", "1.0D AS v"))
+    assert "map_from_entries" not in plan._jdf.queryExecution().toString()
+    assert sorted(tuple(r) for r in plan.collect()) == [(i, 1.0 + i % 5) for i in range(30)]
