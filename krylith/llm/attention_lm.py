@@ -438,14 +438,14 @@ def training_pieces(batches: Iterator[pa.RecordBatch], end: int) -> Iterator[tup
                 yield laid(some, ptr, spell_n, spell, end)[:2]
 
 
-def score(docs: DataFrame, training: Column, vocabulary: str = "piece_bpe_32k.model", every: int = 16, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, training: Column, vocabulary: str = "piece_bpe_32k.model", every: int = 2, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities).
 
     training marks the rows to learn from. All statistics of ids, classes and words cover all their places.
     The attention weights learn in `rounds` rounds: in each, every partition goes over windows of all its
     training rows, and the weights move by the mean of the partitions, each weighted by the places it
     learned from (an id: where it occurs). Of each training text, the rounds take in turn every
-    `every`-th window, beginning with its first; every = rounds takes all windows. Null texts are
+    `every`-th window, beginning with its first; every = rounds, the default, takes all windows once. Null texts are
     empty: one end. Repeated rows count as often as they occur; null ids are rows like others.
     Without training rows N is 0 and the model is untrained. An empty table gives an empty table.
     """

@@ -32,6 +32,18 @@ def test_learns_from_all_rows(spark, monkeypatch):  # noqa: F811
     assert set(np.flatnonzero(np.abs(moved[0][: sub.begin + 1]).sum(1))) == learned
 
 
+def test_learns_from_all_windows(spark, monkeypatch):  # noqa: F811
+    moved, move = [], A.Attention.moved
+    monkeypatch.setattr(A.Attention, "moved", lambda self, rows: moved.append(np.abs(rows - self.flat()).sum(1)) or move(self, rows))
+    names = "river stone cloud table music winter garden silver window paper bread horse".split()
+    text = " ".join(w for w in names for _ in range(60))
+    docs = spark.createDataFrame([(0, text)], "doc_id long, text string")
+    assert A.score(docs, F.lit(True)).count() == 1
+    sub = A.subwords("piece_bpe_32k.model")
+    ids = {i for _, word in spelled(sub, text) for i in word}
+    assert ids <= set(np.flatnonzero(sum(moved)[: sub.end]))
+
+
 def plain(model, sub, words, known):
     """Log probability of a text, place by place; known: occurrences of words in training texts."""
     st, of, w = model.statistics, model.classes.of, model.w
