@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import SparkSession
 
 from krylith.operators import storage
+from krylith.plans import solvers
+from krylith.plans.runtime import LocalOperator
 
 
 @pytest.fixture(scope="module")
@@ -47,3 +49,11 @@ def test_dense_rows_are_filled_in_one_go(spark):
     assert sorted(map(tuple, storage.unpack(packed, "dns").collect())) == sorted(map(tuple, a.collect()))
     with pytest.raises(Exception, match="two entries"):
         storage.pack(a.union(a), 50, "dns").collect()
+
+
+@pytest.mark.parametrize("method", ["bicg"])
+def test_sainv_of_many_rows(method):
+    """More rows than a dense inverse was allowed."""
+    a, u = LocalOperator(*ring(4200), 4200), 1.0 + np.arange(4200) % 7
+    found = solvers.solve(a, a.dot(u), method, "sainv", tol=1e-11)
+    assert found.status == solvers.SUCCESS and np.allclose(found.x, u, atol=1e-6)
