@@ -51,7 +51,7 @@ def test_dense_rows_are_filled_in_one_go(spark):
         storage.pack(a.union(a), 50, "dns").collect()
 
 
-@pytest.mark.parametrize("method", ["bicg", "cg"])
+@pytest.mark.parametrize("method", ["bicg", "cg", "gmres"])
 def test_sainv_of_many_rows(method):
     """More rows than a dense inverse was allowed."""
     a, u = LocalOperator(*ring(4200), 4200), 1.0 + np.arange(4200) % 7
