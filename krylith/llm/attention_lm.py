@@ -99,16 +99,12 @@ def mask() -> np.ndarray:
     return np.where(np.arange(SPAN)[None, :] <= np.arange(HEAD, SPAN)[:, None], 0, -1e9).astype(np.float32)
 
 
-def softmax(x: np.ndarray, row: np.ndarray | None = None, own: np.ndarray | None = None) -> None:
-    """In place over the last axis. Maxima are taken off only where an exponential, or all of a place, could leave its range.
+MASK = mask()
 
-    row, own: an entry of each place that bounds its sum from below; else the mean does.
-    """
-    low = x[:, row, own].min(initial=0) if row is not None else x.min(initial=0)
-    if x.max(initial=0) > 50 or low < -50:
-        x -= x.max(-1, keepdims=True)
-    np.exp(x, out=x)
-    x /= (x @ np.ones(x.shape[-1], np.float32))[..., None]
+
+def longest(x: np.ndarray) -> float:
+    """The largest length of the rows of the last axis."""
+    return float(np.sqrt(np.einsum("...i,...i->...", x, x).max(initial=0)))
 
 
 class Adam:
@@ -143,48 +139,63 @@ class Attention:
 
     def gradients(self, ids: np.ndarray, goal: np.ndarray) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
         """ids: (n, SPAN), -1 before a text; goal: (n, BODY) classes, -1 for none. Mean loss, its gradients and the rows of that of token."""
-        w = self.w
+        w, n, flat = self.w, ids.shape[0], lambda t: t.reshape(-1, t.shape[-1])
         safe = np.maximum(ids, 0)
-        rows, inverse = np.unique(safe, return_inverse=True)
-        inverse = inverse.ravel()
-        x = (w["token"][rows] + w["group"][self.classes.of[rows]])[inverse].reshape(*ids.shape, WIDTH)
+        kind = np.uint16 if self.classes.of.size <= 1 << 16 else np.int64  # two bytes are sorted by radix
+        order = np.argsort(safe.ravel().astype(kind), kind="stable")
+        held = safe.ravel()[order]
+        new = np.r_[True, held[1:] != held[:-1]]
+        starts, inverse = np.flatnonzero(new), np.empty(order.size, np.int64)
+        rows, inverse[order] = held[starts], np.cumsum(new) - 1
+        one = lambda t: np.concatenate([t, np.ones((*t.shape[:-1], 1), np.float32)], -1)
+        x = np.take(w["token"][rows] + w["group"][self.classes.of[rows]], inverse, axis=0, mode="clip").reshape(*ids.shape, WIDTH)
         x += w["place"]
-        xq = x[:, HEAD:]
-        q, k, v = xq @ w["query"], x @ w["key"], x @ w["value"]
-        q *= np.float32(1 / np.sqrt(WIDTH))
+        xq = np.ascontiguousarray(x[:, HEAD:])
+        scale = np.float32(1 / np.sqrt(WIDTH))
+        q, k, v = (flat(t) @ m for t, m in ((xq, w["query"] * scale), (x, w["key"]), (x, w["value"])))
+        q, k, v = q.reshape(n, BODY, WIDTH), k.reshape(n, SPAN, WIDTH), one(v.reshape(n, SPAN, WIDTH))
         a = q @ k.transpose(0, 2, 1)
-        a += mask()
+        a += MASK
         blank = ids[:, :HEAD] < 0
         if blank.any():
             a[:, :, :HEAD] += np.where(blank, np.float32(-1e9), np.float32(0))[:, None, :]
-        softmax(a, np.arange(BODY), np.arange(HEAD, SPAN))
+        # exponentials stay undivided: their sums, a column of what v's ones give, divide what is made of them
+        if longest(q) * longest(k) > 50:
+            a -= a.max(-1, keepdims=True)
+        np.exp(a, out=a)
         o = a @ v
-        h = xq + o @ w["mix"]
-        p = h @ w["out"]
-        p += w["bias"]
-        p += self.statistics.prior[safe[:, HEAD:]]
-        softmax(p)
+        share = 1 / o[:, :, WIDTH:]
+        o = o[:, :, :WIDTH] * share
+        h = one(flat(xq) + flat(o) @ w["mix"])
+        out = np.concatenate([w["out"], w["bias"]])
+        p = h @ out
+        p += np.take(self.statistics.prior, safe[:, HEAD:].ravel(), axis=0, mode="clip")
+        if longest(h) * longest(out.T) > 50:
+            p -= p.max(-1, keepdims=True)
+        np.exp(p, out=p)
+        total = p @ np.ones(CLASSES, np.float32)
+        goal = goal.ravel()
         real = goal >= 0
-        at = np.nonzero(real)
-        loss = -np.log(np.maximum(p[at[0], at[1], goal[real]], 1e-30)).mean()
-        p[at[0], at[1], goal[real]] -= 1
-        p *= (real * np.float32(1 / max(int(real.sum()), 1))).astype(np.float32)[:, :, None]
-        flat = lambda t: t.reshape(-1, t.shape[-1])
+        at, weight = np.flatnonzero(real), np.float32(1 / max(int(real.sum()), 1))
+        loss = -np.log(np.maximum(p[at, goal[at]] / total[at], 1e-30)).mean()
+        p *= (real * weight / total).astype(np.float32)[:, None]
+        p[at, goal[at]] -= weight
         dh = p @ w["out"].T
-        do = dh @ w["mix"].T
+        do = (dh @ w["mix"].T).reshape(n, BODY, WIDTH)
+        less = -np.einsum("nij,nij->ni", do, o)[:, :, None]
+        do = np.concatenate([do, less], -1) * share
         da = do @ v.transpose(0, 2, 1)
-        dv = a.transpose(0, 2, 1) @ do
-        da -= np.einsum("nij,nij->ni", da, a)[:, :, None]
         da *= a
-        dq, dk = da @ k * np.float32(1 / np.sqrt(WIDTH)), da.transpose(0, 2, 1) @ q
-        dx = dk @ w["key"].T
-        dx += dv @ w["value"].T
-        dx[:, HEAD:] += dh + dq @ w["query"].T
-        dx[ids < 0] = 0
-        order = np.argsort(inverse, kind="stable")
-        token = np.add.reduceat(flat(dx)[order], np.searchsorted(inverse[order], np.arange(rows.size)), axis=0)
+        dv = flat(a.transpose(0, 2, 1) @ do[:, :, :WIDTH])
+        dq, dk = flat(da @ k) * scale, flat(da.transpose(0, 2, 1) @ q)
+        dx = (dk @ w["key"].T + dv @ w["value"].T).reshape(n, SPAN, WIDTH)
+        dx[:, HEAD:] += (dh + dq @ w["query"].T).reshape(n, BODY, WIDTH)
+        if blank.any():
+            dx[ids < 0] = 0
+        token = np.add.reduceat(np.take(flat(dx), order, axis=0, mode="clip"), starts, axis=0)
         group = (self.classes.of[rows] == np.arange(CLASSES)[:, None]).astype(np.float32) @ token
-        grads = {"token": token, "group": group, "place": dx.sum(0), "query": flat(xq).T @ flat(dq), "key": flat(x).T @ flat(dk), "value": flat(x).T @ flat(dv), "mix": flat(o).T @ flat(dh), "out": flat(h).T @ flat(p), "bias": flat(p).sum(0, keepdims=True)}
+        last = h.T @ p
+        grads = {"token": token, "group": group, "place": dx.sum(0), "query": flat(xq).T @ dq, "key": flat(x).T @ dk, "value": flat(x).T @ dv, "mix": flat(o).T @ dh, "out": last[:WIDTH], "bias": last[WIDTH:]}
         return loss, grads, rows
 
     def flat(self) -> np.ndarray:

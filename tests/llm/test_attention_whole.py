@@ -95,6 +95,41 @@ def test_score_is_a_plain_forward_pass(spark, monkeypatch):  # noqa: F811
         assert got[None if i == 1 else i]["score"] == pytest.approx(plain(made[0], sub, spelled(sub, text), known), rel=1e-4, abs=1e-4)
 
 
+@pytest.mark.parametrize("size", [0.3, 0.7])
+def test_gradients_are_slopes_of_the_loss(size):
+    """By differences, with places before a text, goals left out, and scores whose exponentials need their maxima off."""
+    rand, of = np.random.RandomState(1), np.arange(90) % A.CLASSES
+    counts = rand.randint(1, 30, of.size).astype(float)
+    st = A.Statistics.from_counts(counts, rand.rand(of.size, A.CLASSES), rand.rand(of.size, A.CLASSES), np.minimum(counts, 3), of)
+    assert not hasattr(A, "softmax")  # exponentials are divided only in what is made of them
+    model = A.Attention(A.Classes(of), st)
+    model.w = {k: (rand.randn(*x.shape) * size).astype(np.float32) for k, x in model.w.items()}
+    ids, goal = rand.randint(0, 90, (5, A.SPAN)), rand.randint(0, A.CLASSES, (5, A.BODY))
+    ids[0, : A.HEAD], goal[1, 7:] = -1, -1
+    loss, grads, rows = model.gradients(ids, goal)
+
+    def wide(w):
+        """The same loss in doubles."""
+        x = (w["token"] + w["group"][of])[np.maximum(ids, 0)] + w["place"]
+        s = np.einsum("nid,njd->nij", x[:, A.HEAD :] @ w["query"], x @ w["key"]) / math.sqrt(A.WIDTH) + A.mask() + np.where(ids < 0, -1e9, 0)[:, None, :]
+        a = np.exp(s - s.max(2, keepdims=True))
+        h = x[:, A.HEAD :] + a / a.sum(2, keepdims=True) @ (x @ w["value"]) @ w["mix"]
+        z = h @ w["out"] + w["bias"] + st.prior[np.maximum(ids, 0)[:, A.HEAD :]]
+        z = z - z.max(2, keepdims=True)
+        z = z - np.log(np.exp(z).sum(2, keepdims=True))
+        return -np.take_along_axis(z, np.maximum(goal, 0)[:, :, None], 2)[:, :, 0][goal >= 0].mean()
+
+    w = {k: x.astype(float) for k, x in model.w.items()}
+    if size < 0.5:  # beyond, the loss reported is held at that of 1e-30
+        assert loss == pytest.approx(wide(w), rel=1e-4)
+    for k, g in grads.items():
+        way = rand.randn(*g.shape)
+        step = np.zeros_like(w[k])
+        step[rows if k == "token" else slice(None)] = way * 1e-6
+        slope = (wide(w | {k: w[k] + step}) - wide(w | {k: w[k] - step})) / 2e-6
+        assert slope == pytest.approx(float((g * way).sum()), rel=5e-3, abs=5e-4 * float(np.abs(g).max()) * math.sqrt(g.size))
+
+
 def test_words_sum_to_one():
     """Of all words of one lead id, the known ones and the spelled rest share the probability."""
     rand, of = np.random.RandomState(0), np.arange(90) % A.CLASSES
