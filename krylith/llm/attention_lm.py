@@ -32,6 +32,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from krylith.llm import graphs
 from krylith.llm import words as W
 from krylith.llm.quality_rules import Pieces, expand, pieces
 from krylith.llm.tables import Scratch
@@ -100,6 +101,10 @@ def mask() -> np.ndarray:
 
 
 MASK = mask()
+#: Which classes begin a word or end a text; all classes.
+SPLIT = np.stack([np.arange(CLASSES) < BEGINS, np.ones(CLASSES, bool)], 1).astype(np.float32)
+#: By the number of places before a text at the head of a window: what is added to scores.
+MASKS = np.stack([np.minimum(MASK, np.where(np.arange(SPAN) < k, -1e9, 0)) for k in range(HEAD + 1)]).astype(np.float32)
 
 
 def longest(x: np.ndarray) -> float:
@@ -108,22 +113,100 @@ def longest(x: np.ndarray) -> float:
 
 
 class Adam:
-    """Steps of Adam on weights, in place; of a table only the rows that a batch touches move."""
+    """Steps of Adam on weights, in place; of a table only the rows that a batch touches move.
+
+    w's arrays become parts of one table of rows of WIDTH, `token` first, so that a step is one pass over it.
+    """
 
     def __init__(self, w: dict[str, np.ndarray]):
-        self.w, self.n = w, 0
-        self.m, self.v = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
+        self.n, self.ids = 0, w["token"].shape[0]
+        self.names = ["token", *(k for k in w if k != "token")]
+        self.all = np.concatenate([w[k].reshape(-1, WIDTH) for k in self.names])
+        at = 0
+        for k in self.names:
+            n = w[k].size // WIDTH
+            w[k] = self.all[at : at + n].reshape(w[k].shape)
+            at += n
+        self.m, self.v = np.zeros_like(self.all), np.zeros_like(self.all)
 
     def step(self, grads: dict[str, np.ndarray], rows: np.ndarray, rate: float) -> None:
         """rows: those of the token table that its gradient is for."""
         self.n += 1
         up, down = 1 / (1 - 0.9**self.n), 1 / (1 - 0.99**self.n)
-        for k, g in grads.items():
-            at = rows if k == "token" else slice(None)
-            m = self.m[k][at] * np.float32(0.9) + np.float32(0.1) * g
-            v = self.v[k][at] * np.float32(0.99) + np.float32(0.01) * g * g
-            self.m[k][at], self.v[k][at] = m, v
-            self.w[k][at] -= np.float32(rate * up) * m / (np.sqrt(v * np.float32(down)) + np.float32(1e-8))
+        at = np.concatenate([rows, np.arange(self.ids, self.all.shape[0])])
+        g = np.concatenate([grads[k].reshape(-1, WIDTH) for k in self.names])
+        m = np.take(self.m, at, axis=0, mode="clip")
+        m *= np.float32(0.9)
+        m += np.float32(0.1) * g
+        v = np.take(self.v, at, axis=0, mode="clip")
+        v *= np.float32(0.99)
+        g *= g
+        g *= np.float32(0.01)
+        v += g
+        self.m[at], self.v[at] = m, v
+        v *= np.float32(down)
+        np.sqrt(v, out=v)
+        v += np.float32(1e-8)
+        m *= np.float32(rate * up)
+        m /= v
+        self.all[at] -= m
+
+
+def forward(g: graphs.Graph) -> dict[str, str]:
+    """The model up to the scores of the classes, from what fed() gives. As query meets key, and value mix, in products only, these are taken first."""
+    r = {k: g.input(k, *shape) for k, shape in {"place": (SPAN, WIDTH), "pair": (WIDTH, WIDTH), "through": (WIDTH, WIDTH), "out": (WIDTH, CLASSES)}.items()}
+    r["x"] = g.add("Add", g.add("Gather", g.input("table", "rows", WIDTH), g.input("at", "n", SPAN, kind=np.int32)), "place")
+    xq = g.add("Slice", r["x"], *(g.constant(np.array([k], np.int64)) for k in (HEAD, SPAN, 1)))
+    r["q"], r["xq"] = g.add("MatMul", xq, "pair"), g.shaped(xq, -1, WIDTH)
+    s = g.add("Add", g.add("FusedMatMul", r["q"], r["x"], transB=1), g.add("Gather", g.constant(MASKS), g.input("blank", "n", kind=np.int32)))
+    r["a"] = g.add("Softmax", s, axis=-1)
+    r["o"] = g.shaped(g.add("MatMul", r["a"], r["x"]), -1, WIDTH)
+    r["h"] = g.add("Gemm", r["o"], "through", r["xq"])
+    r["z"] = g.add("Gemm", r["h"], "out", g.add("Gather", g.input("prior", "rows", CLASSES), g.input("body", "places", kind=np.int32)))
+    return r
+
+
+@lru_cache
+def learning() -> graphs.onnxruntime.InferenceSession:
+    """Gradients of the mean loss. goal: classes; weight, wide: of each place, the latter WIDTH times; rest: out the other way; kinds: the classes of table's rows."""
+    g = graphs.Graph()
+    r = forward(g)
+    column = lambda t: g.shaped(t, -1, 1)
+    goal, rest = g.input("goal", "places", kind=np.int32), g.input("rest", CLASSES, WIDTH)
+    weight, wide = g.input("weight", "places", 1), g.input("wide", "places", WIDTH)
+    p = g.add("Softmax", r["z"], axis=-1)
+    dh = g.add("Mul", g.add("Sub", g.add("MatMul", p, rest), g.add("Gather", rest, goal)), wide)
+    do = g.add("FusedMatMul", dh, "through", transB=1)
+    less = g.shaped(g.add("ReduceSum", g.add("Mul", do, r["o"]), g.constant(np.array([1], np.int64)), keepdims=1), -1, BODY, 1)
+    do3 = g.shaped(do, -1, BODY, WIDTH)
+    da = g.add("Mul", r["a"], g.add("Sub", g.add("FusedMatMul", do3, r["x"], transB=1), less))
+    dq = g.shaped(g.add("MatMul", da, r["x"]), -1, WIDTH)
+    dx = g.add("Add", g.add("FusedMatMul", r["a"], do3, transA=1), g.add("FusedMatMul", da, r["q"], transA=1))
+    dxq = g.add("Gemm", dq, "pair", dh, transB=1)
+    # by rows of the table, then by class
+    at, body = (column(g.add("Cast", t, to=7)) for t in ("at", "body"))
+    token = g.add("ScatterND", g.input("none", "rows", WIDTH), at, g.shaped(dx, -1, WIDTH), reduction="add")
+    token = g.add("ScatterND", token, body, dxq, reduction="add")
+    group = g.add("ScatterND", g.constant(np.zeros((CLASSES, WIDTH), np.float32)), g.input("kinds", "rows", 1, kind=np.int64), token, reduction="add")
+    h = g.add("Concat", g.add("Mul", r["h"], wide), weight, axis=1)
+    hit = g.add("ScatterND", g.constant(np.zeros((CLASSES, WIDTH + 1), np.float32)), column(g.add("Cast", goal, to=7)), h, reduction="add")
+    first, square = g.constant(np.array([0], np.int64)), (WIDTH, WIDTH)
+    place, late = g.add("ReduceSum", dx, first, keepdims=0), g.add("ReduceSum", g.shaped(dxq, -1, BODY, WIDTH), first, keepdims=0)
+    return g.session(
+        token=(token, ("rows", WIDTH)), group=(group, (CLASSES, WIDTH)), early=(place, (SPAN, WIDTH)), late=(late, (BODY, WIDTH)),
+        d_pair=(g.add("Gemm", r["xq"], dq, transA=1), square), d_through=(g.add("Gemm", r["o"], dh, transA=1), square),
+        all=(g.add("Gemm", h, p, transA=1), (WIDTH + 1, CLASSES)), hit=(hit, (CLASSES, WIDTH + 1)),
+    )
+
+
+@lru_cache
+def scoring() -> graphs.onnxruntime.InferenceSession:
+    """Of each place: the score of the goal, a class; the sums of the exponentials of the scores of all classes, and of those that begin a word or end a text."""
+    g = graphs.Graph()
+    z = forward(g)["z"]
+    hit = g.add("GatherElements", z, g.input("goal", "places", 1, kind=np.int32), axis=1)
+    total = g.add("MatMul", g.add("Exp", z), g.constant(SPLIT))
+    return g.session(hit=(hit, ("places", 1)), sums=(total, ("places", 2)))
 
 
 class Attention:
@@ -137,6 +220,34 @@ class Attention:
         shapes = {"token": (classes.of.size, WIDTH, 0), "group": (CLASSES, WIDTH, 0.5), "place": (SPAN, WIDTH, 0.1), "query": (WIDTH, WIDTH, 0.25), "key": (WIDTH, WIDTH, 0.25), "value": (WIDTH, WIDTH, 0.25), "mix": (WIDTH, WIDTH, 0.25), "out": (WIDTH, CLASSES, 0.05), "bias": (1, CLASSES, 0)}
         self.w = {k: (random.randn(a, b) * s).astype(np.float32) for k, (a, b, s) in shapes.items()}
 
+    def fed(self, table: np.ndarray, prior: np.ndarray, at: np.ndarray, ids: np.ndarray) -> dict[str, np.ndarray]:
+        """What both graphs take. table: embeddings; prior: with the bias; at: which of their rows are those of ids."""
+        w, at = self.w, at.astype(np.int32, copy=False)
+        blank = (ids[:, :HEAD] < 0).sum(1, dtype=np.int32)
+        pair = w["query"] @ w["key"].T * np.float32(1 / np.sqrt(WIDTH))
+        return {"place": w["place"], "pair": pair, "through": w["value"] @ w["mix"], "out": w["out"], "table": table, "at": at, "blank": blank, "prior": prior, "body": at[:, HEAD:].ravel()}
+
+    def learned(self, ids: np.ndarray, goal: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """The gradients of gradients() and their rows, by onnxruntime where it is installed."""
+        if not graphs.onnxruntime:
+            return self.gradients(ids, goal)[1:]
+        w, safe = self.w, np.maximum(ids, 0)
+        number = np.zeros(self.classes.of.size, np.int32)
+        number[safe] = 1
+        rows = np.flatnonzero(number)
+        number[rows] = np.arange(rows.size)
+        kinds, goal = self.classes.of[rows], goal.ravel()
+        weight = (goal >= 0).astype(np.float32)
+        weight /= max(float(weight.sum()), 1)
+        feed = self.fed(w["token"][rows] + w["group"][kinds], self.statistics.prior[rows] + w["bias"], number[safe], ids)
+        feed |= {"goal": np.maximum(goal, 0).astype(np.int32, copy=False), "weight": weight[:, None], "wide": np.repeat(weight, WIDTH).reshape(-1, WIDTH), "rest": w["out"].T.copy(), "none": np.zeros((rows.size, WIDTH), np.float32), "kinds": kinds[:, None]}
+        token, group, place, late, pair, through, last, hit = learning().run(["token", "group", "early", "late", "d_pair", "d_through", "all", "hit"], feed)
+        place[HEAD:] += late
+        last -= hit.T
+        pair *= np.float32(1 / np.sqrt(WIDTH))
+        grads = {"token": token, "group": group, "place": place, "query": pair @ w["key"], "key": pair.T @ w["query"], "value": through @ w["mix"].T, "mix": w["value"].T @ through, "out": last[:WIDTH], "bias": last[WIDTH:]}
+        return grads, rows
+
     def gradients(self, ids: np.ndarray, goal: np.ndarray) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
         """ids: (n, SPAN), -1 before a text; goal: (n, BODY) classes, -1 for none. Mean loss, its gradients and the rows of that of token."""
         w, n, flat = self.w, ids.shape[0], lambda t: t.reshape(-1, t.shape[-1])
@@ -221,8 +332,7 @@ class Attention:
             order = random.permutation(ids.shape[0])
             for i in range(0, order.size, batch):
                 some = order[i : i + batch]
-                _, grads, rows = self.gradients(ids[some], goal[some])
-                adam.step(grads, rows, rate)
+                adam.step(*self.learned(ids[some], goal[some]), rate)
             seen += np.bincount(np.maximum(ids, 0).ravel(), minlength=seen.size) * (ids.size > 0)
             places += int((goal >= 0).sum())
         return self.flat() - before, np.r_[seen, np.full(before.shape[0] - seen.size, places)]
@@ -236,13 +346,13 @@ class Attention:
         w = self.w
         x = w["token"] + w["group"][self.classes.of]
         scale = np.float32(1 / np.sqrt(WIDTH))
+        self.embeddings = x
         sides = lambda t: [t @ w["query"] * scale, t, t @ w["key"], np.hstack([t @ w["value"] @ w["mix"], np.zeros((t.shape[0], 1), np.float32)])]
         self.rows, self.place_rows = sides(x), sides(w["place"])
         self.place_rows = [t[HEAD:] if k < 2 else t for k, t in enumerate(self.place_rows)]
         self.place_rows[3][:, -1] = 1
         self.statistics = replace(self.statistics, prior=(self.statistics.prior + w["bias"]).astype(np.float32))
         self.reach = float(np.linalg.norm(w["out"], axis=0).max()), float(np.abs(w["bias"]).max())
-        self.split = np.stack([np.arange(CLASSES) < BEGINS, np.ones(CLASSES, bool)], 1).astype(np.float32)
         self.mask = mask()
         self.space: dict[str, np.ndarray] = {}
         return self
@@ -260,6 +370,13 @@ class Attention:
         place always sees itself, and some class has a prior of at least 1 / CLASSES.
         """
         n, safe = ids.shape[0], np.maximum(ids, 0)
+        if graphs.onnxruntime:
+            feed = self.fed(self.embeddings, self.statistics.prior, safe, ids)
+            hit, sums = scoring().run(["hit", "sums"], feed | {"goal": np.maximum(goal, 0).astype(np.int32, copy=False).reshape(-1, 1)})
+            begins, total = sums.T
+            if 1e-20 < total.min(initial=1) and total.max(initial=1) < 1e30:  # else an exponential may have left its range
+                log_total = np.log(total)
+                return np.where(goal.ravel() >= 0, hit[:, 0] - log_total, 0), np.log(np.maximum(begins, 1e-30)) - log_total
         body = np.ascontiguousarray(safe[:, HEAD:])
         got = []
         for k, (table, place) in enumerate(zip(self.rows, self.place_rows)):
@@ -288,7 +405,7 @@ class Attention:
         goal = goal.ravel()
         hit = z[np.arange(goal.size), np.maximum(goal, 0)]
         np.exp(z, out=z)
-        begins, total = (z @ self.split).T
+        begins, total = (z @ SPLIT).T
         log_total = np.log(total)
         return np.where(goal >= 0, hit - log_total, 0), np.log(np.maximum(begins, 1e-30)) - log_total
 
@@ -492,11 +609,11 @@ def score(docs: DataFrame, training: Column, vocabulary: str = "piece_bpe_32k.mo
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Counts of each (id, class after it) and (class, id after it) of a partition, as numbers from 0 and from the size of a table."""
         size = (begin + 1) * CLASSES
-        n = np.zeros(2 * size, np.int32)
+        n = np.zeros((2, size))
 
-        def add(before: np.ndarray, after: np.ndarray, times: np.ndarray | int) -> None:
-            np.add.at(n, before * CLASSES + of[after], times)
-            np.add.at(n, after * CLASSES + of[before] + size, times)
+        def add(before: np.ndarray, after: np.ndarray, times: np.ndarray | None) -> None:
+            for k, at in enumerate((before * CLASSES + of[after], after * CLASSES + of[before])):
+                n[k] += np.bincount(at, times, size)
 
         for batch in batches:
             for row in range(batch.num_rows):
@@ -514,9 +631,9 @@ def score(docs: DataFrame, training: Column, vocabulary: str = "piece_bpe_32k.mo
                 before[at + 1] = spell[past - 1][word]
                 before[edge - n_words] = begin
                 after[at] = spell[past - spell_n][word]
-                add(before, after, 1)
+                add(before, after, None)
         some = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(n[some], pa.int64())], ["key", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(n.ravel()[some].astype(np.int64))], ["key", "n"])
 
     tokens = packed.select("n_words", "train", "word", "spell_n", "spell")
     # two tables of one row for each id and class at most

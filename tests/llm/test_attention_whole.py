@@ -130,6 +130,33 @@ def test_gradients_are_slopes_of_the_loss(size):
         assert slope == pytest.approx(float((g * way).sum()), rel=5e-3, abs=5e-4 * float(np.abs(g).max()) * math.sqrt(g.size))
 
 
+@pytest.mark.parametrize("size", [0.3, 1.0])
+def test_graphs_equal_numpy(size, monkeypatch):
+    """Training and scoring by onnxruntime, with scores beyond the range of exponentials too, give what numpy gives."""
+    assert A.graphs.onnxruntime, "without it op6 is right but over its time limit"
+    rand, of = np.random.RandomState(2), np.arange(90) % A.CLASSES
+    counts = rand.randint(1, 30, of.size).astype(float)
+    st = A.Statistics.from_counts(counts, rand.rand(of.size, A.CLASSES), rand.rand(of.size, A.CLASSES), np.minimum(counts, 3), of)
+    model = A.Attention(A.Classes(of), st)
+    model.w = {k: (rand.randn(*x.shape) * size).astype(np.float32) for k, x in model.w.items()}
+    ids, goal = rand.randint(0, 90, (7, A.SPAN)), rand.randint(0, A.CLASSES, (7, A.BODY))
+    ids[0, : A.HEAD], ids[1, :3], goal[1, 7:], goal[6] = -1, -1, -1, -1
+    _, grads, rows = model.gradients(ids, goal)
+    found, places = model.learned(ids, goal)
+    assert (places == rows).all() and found.keys() == grads.keys()
+    for k, g in grads.items():
+        assert np.allclose(found[k], g, rtol=1e-3, atol=2e-4 * float(np.abs(g).max())), k
+    model.w["out"] *= 100 * size  # beyond the range of exponentials
+    model.prepared()
+    fast = model.places(ids, goal)
+    monkeypatch.setattr(A.graphs, "onnxruntime", None)
+    for a, b in zip(fast, model.places(ids, goal)):
+        assert np.isfinite(b).all() and np.allclose(a, b, rtol=1e-4, atol=1e-3)
+    assert fast[0].min() < -100
+    # without onnxruntime the gradients are those of numpy
+    assert all((g == model.learned(ids, goal)[0][k]).all() for k, g in model.gradients(ids, goal)[1].items())
+
+
 def test_words_sum_to_one():
     """Of all words of one lead id, the known ones and the spelled rest share the probability."""
     rand, of = np.random.RandomState(0), np.arange(90) % A.CLASSES
