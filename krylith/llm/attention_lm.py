@@ -232,14 +232,17 @@ class Attention:
         if not graphs.onnxruntime:
             return self.gradients(ids, goal)[1:]
         w, safe = self.w, np.maximum(ids, 0)
-        number = np.zeros(self.classes.of.size, np.int32)
-        number[safe] = 1
-        rows = np.flatnonzero(number)
-        number[rows] = np.arange(rows.size)
+        seen, number = np.zeros(self.classes.of.size, bool), np.empty(self.classes.of.size, np.int32)
+        seen[safe] = True
+        rows = np.flatnonzero(seen)
+        number[rows] = np.arange(rows.size, dtype=np.int32)
+        take = lambda t, at: np.take(t, at, axis=0, mode="clip")
         kinds, goal = self.classes.of[rows], goal.ravel()
         weight = (goal >= 0).astype(np.float32)
         weight /= max(float(weight.sum()), 1)
-        feed = self.fed(w["token"][rows] + w["group"][kinds], self.statistics.prior[rows] + w["bias"], number[safe], ids)
+        prior = take(self.statistics.prior, rows)
+        prior += w["bias"]
+        feed = self.fed(take(w["token"], rows) + take(w["group"], kinds), prior, take(number, safe), ids)
         feed |= {"goal": np.maximum(goal, 0).astype(np.int32, copy=False), "weight": weight[:, None], "wide": np.repeat(weight, WIDTH).reshape(-1, WIDTH), "rest": w["out"].T.copy(), "none": np.zeros((rows.size, WIDTH), np.float32), "kinds": kinds[:, None]}
         token, group, place, late, pair, through, last, hit = learning().run(["token", "group", "early", "late", "d_pair", "d_through", "all", "hit"], feed)
         place[HEAD:] += late
